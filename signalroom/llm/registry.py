@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import quality, sharding
 
 QUERIES = {
+    "op3_hashed_ngram_ratio": quality.query,
     "op8_slot_shards": sharding.query,
 }
 ORACLES: dict[str, str] = {}
