@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import licenses, quality, sharding
 
 QUERIES = {
+    "op1_license_digests": licenses.query,
     "op3_hashed_ngram_ratio": quality.query,
     "op8_slot_shards": sharding.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_license_digests": licenses.SQL,
+}
