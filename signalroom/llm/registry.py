@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, packing, quality, sharding
+from . import bpe, licenses, minhash, packing, quality, sharding
 
 QUERIES = {
     "op1_license_digests": licenses.query,
     "op3_hashed_ngram_ratio": quality.query,
     "op4_automaton_bpe": bpe.query,
+    "op5_hyperminhash": minhash.query,
     "op7_histogram_packing": packing.query,
     "op8_slot_shards": sharding.query,
 }
