@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, minhash, packing, quality, sharding
+from . import bpe, licenses, minhash, packing, quality, sharding, suffixes
 
 QUERIES = {
     "op1_license_digests": licenses.query,
+    "op2_suffix_merge": suffixes.query,
     "op3_hashed_ngram_ratio": quality.query,
     "op4_automaton_bpe": bpe.query,
     "op5_hyperminhash": minhash.query,
