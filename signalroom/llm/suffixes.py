@@ -48,7 +48,7 @@ CHUNK = 4_000_000
 SEGMENT = 200_000
 KEY_BITS = 48
 #: Merged entries that are matched at a time.
-SLICE = 100_000
+SLICE = 20_000
 
 
 class Chunk:
@@ -107,7 +107,7 @@ class Chunk:
             first = np.flatnonzero(new)
             last = np.append(first[1:], len(starts)) - 1
             at = anchor[first]
-            out["key"].append(hashes[at] >> np.uint64(64 - KEY_BITS))
+            out["key"].append(hashing.mix(hashes[at]) >> np.uint64(64 - KEY_BITS))  # anchors have small hashes, keys are spread evenly
             out["doc"].append(docs[piece[at]])
             if contexts:
                 low, high = starts[first], starts[last] + WINDOW
@@ -336,6 +336,7 @@ def merge_runs(rows: pa.Table) -> pa.Table:
     # all runs' columns in a row; where lists the entries in merged order
     sizes = np.array([len(r[0]) for r in runs], np.int64)
     starts = np.cumsum(sizes) - sizes
+    places_of_run = np.cumsum([len(r[7]) // 4 for r in runs])
     where = starts[order] + ranks_within(order)
     column = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in runs])
     right, left = column(1, np.uint8).astype(np.int64), column(3, np.uint8).astype(np.int64)
@@ -394,7 +395,7 @@ def merge_runs(rows: pa.Table) -> pa.Table:
         out_low.append(-far[again[mine]])
         out_high.append(WINDOW - near[again[mine]])
     place, low, high = (np.concatenate(x) for x in (out_place, out_low, out_high))
-    run = np.searchsorted(np.cumsum([int(count[s : s + n].sum()) for s, n in zip(starts, sizes, strict=True)]), place, side="right")
+    run = np.searchsorted(places_of_run, place, side="right")
     result = []
     for r in np.unique(run).tolist():
         mine = np.flatnonzero(run == r)
@@ -463,7 +464,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """docs with _n_bytes, _n_removed, _n_spans, _kept_sha256, and either _kept, the bytes left, or no text."""
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks = max(1, -(-total // CHUNK))
     dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
     blob = "range bigint, chunk bigint, blob binary"
