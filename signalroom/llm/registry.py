@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, minhash, packing, quality, sharding, suffixes
+from . import bpe, licenses, minhash, packing, quality, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_license_digests": licenses.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_hashed_ngram_ratio": quality.query,
     "op4_automaton_bpe": bpe.query,
     "op5_hyperminhash": minhash.query,
+    "op6_zstd_distance": toxicity.query,
     "op7_histogram_packing": packing.query,
     "op8_slot_shards": sharding.query,
 }
