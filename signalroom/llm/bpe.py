@@ -41,7 +41,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
+#: Rows that are decoded at a time.
+ROWS = 200
 NEVER = np.int32(2**31 - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 STEP, MASK = 0x9E3779B97F4A7BB5, 2**64 - 1
@@ -276,10 +278,6 @@ class Codec:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.automaton = Automaton(model["vocab"], merges, letters + [c + END for c in letters])
         self.special = {x["content"]: x["id"] for x in doc["added_tokens"]}
-        size = max([*model["vocab"].values(), *self.special.values()]) + 1
-        self.labels = [""] * size
-        for text, i in chain(model["vocab"].items(), self.special.items()):
-            self.labels[i] = text
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         latin = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "L")
         digits = "".join(chr(c) for c in range(0x250) if unicodedata.category(chr(c))[0] == "N")
@@ -333,19 +331,19 @@ class Codec:
             self.kept.new = set()
         return [b"".join(map(get, p)) for p in batch]
 
-    def decode(self, ids: np.ndarray) -> str:
-        return " ".join(map(self.labels.__getitem__, ids.tolist()))
 
+def label_texts(doc: dict) -> list[str]:
+    """The text of each label, by id."""
+    every = doc["model"]["vocab"] | {x["content"]: x["id"] for x in doc["added_tokens"]}
+    out = [""] * (max(every.values()) + 1)
+    for text, i in every.items():
+        out[i] = text
+    return out
 
-_codecs: dict[int, Codec] = {}
 
-
-def codec(spec) -> Codec:
-    """This worker's codec of a broadcast tokenizer file."""
-    key = hash(spec.value)
-    if key not in _codecs:
-        _codecs[key] = Codec(spec.value)
-    return _codecs[key]
+def emit(labels: list[str], ids: np.ndarray) -> str:
+    """Decodes: the labels of the arcs taken."""
+    return " ".join(map(labels.__getitem__, ids.tolist()))
 
 
 def tokenizer_spec(path: str | None = None) -> str:
@@ -358,9 +356,14 @@ def tokenizer_spec(path: str | None = None) -> str:
         return f.read()
 
 
-def shared_spec(spark: SparkSession, path: str | None = None):
-    """A broadcast of the tokenizer file: its size is that of the vocabulary."""
-    return spark.sparkContext.broadcast(tokenizer_spec(path))
+def shared_codec(spark: SparkSession, path: str | None = None):
+    """A broadcast of the compiled codec: its size is that of the vocabulary."""
+    return spark.sparkContext.broadcast(Codec(tokenizer_spec(path)))
+
+
+def shared_labels(spark: SparkSession, path: str | None = None):
+    """A broadcast of the labels by id, which is all that decoding needs."""
+    return spark.sparkContext.broadcast(label_texts(json.loads(tokenizer_spec(path))))
 
 
 def append(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -373,7 +376,7 @@ def ids_array(blobs: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
 
 
-def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose column holds about limit bytes at most, or one row."""
     at = batch.schema.get_field_index(column)
     sizes = np.array([0 if x is None else x for x in pc.binary_length(batch.column(at).cast(pa.large_binary())).to_pylist()], np.int64)
@@ -391,10 +394,10 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", path: str | Non
     """docs with the token ids of a text column as array<int>."""
     if to in docs.columns:
         raise ValueError(f"there is a column {to} already")
-    spec = shared_spec(docs.sparkSession, path)
+    shared = shared_codec(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(spec)
+        c = shared.value
         for whole in batches:
             for batch in pieces_of(whole, text):
                 texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
@@ -407,15 +410,17 @@ def decode(docs: DataFrame, ids: str = "ids", to: str = "decoded", path: str | N
     """docs with the labels of an array<int> column, joined by spaces."""
     if to in docs.columns:
         raise ValueError(f"there is a column {to} already")
-    spec = shared_spec(docs.sparkSession, path)
+    shared = shared_labels(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(spec)
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            texts = [c.decode(flat[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield append(batch, to, pa.array(texts, pa.string()))
+        labels = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                lists = batch.column(batch.schema.get_field_index(ids))
+                flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                texts = [emit(labels, flat[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield append(batch, to, pa.array(texts, pa.string()))
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.StringType())]))
 
