@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, minhash, packing, quality, sharding, suffixes, toxicity
+from . import bpe, licenses, minhash, packing, quality, sharding, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_license_digests": licenses.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_zstd_distance": toxicity.query,
     "op7_histogram_packing": packing.query,
     "op8_slot_shards": sharding.query,
+    "op9_transactions": warc.query,
 }
 ORACLES: dict[str, str] = {
     "op1_license_digests": licenses.SQL,
