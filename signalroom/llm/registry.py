@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, minhash, packing, quality, sharding, suffixes, toxicity, warc
+from . import ann, bpe, licenses, minhash, packing, quality, sharding, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_license_digests": licenses.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_histogram_packing": packing.query,
     "op8_slot_shards": sharding.query,
     "op9_transactions": warc.query,
+    "op10_multi_index_hashing": ann.query,
 }
 ORACLES: dict[str, str] = {
     "op1_license_digests": licenses.SQL,
