@@ -31,16 +31,16 @@ from . import bpe, common
 CAPACITY = 4096
 END_ID = 1
 #: A length with more pieces than this is ranked in several groups.
-GROUP = 1_000_000
+GROUP = 1_000
 
 
 def cut(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length and ids_crc32 (and ids) of the pieces of each text, which end_id ends."""
-    spec = bpe.shared_spec(docs.sparkSession, path)
+    shared = bpe.shared_codec(docs.sparkSession, path)
     fields = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = bpe.codec(spec)
+        codec = shared.value
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for whole in batches:
             for batch in bpe.pieces_of(whole, "text"):
