@@ -3,18 +3,21 @@
 1. Every text becomes its set of word shingles (64-bit hashes). Texts of one set form a class, which
    goes on as one row: its smallest doc_id.
 2. A class has REGISTERS registers. A shingle falls into one register, which keeps the smallest hash,
-   stored as its count of leading zeros and MANTISSA further bits.
+   stored as its count of leading zeros and MANTISSA further bits. A register that got none takes the
+   value of the first filled one in an order of its own, so bands of short texts are as selective as
+   those of long ones.
 3. Registers are banded by ROWS. In each bucket, members meet its smallest member; each class's
    smallest such partner is confirmed on full sets. These links make the first components.
-4. Buckets whose members lie in several components are worked through exactly: their members are put
-   into blocks, and blocks that share a bucket meet. In two blocks every pair that shares a band, is
+4. Buckets whose members lie in several components are worked through exactly. Of buckets of at most
+   PAIRED members all pairs meet; classes that larger ones connect are a family, which is dealt into
+   blocks, and every two of its blocks meet within a task. Every pair that shares a band, is
    not connected yet and isn't ruled out by the collision-corrected estimate (MARGIN standard
    deviations below the threshold) is confirmed on full sets.
 5. Links give components by contraction; classes carry them to documents.
 
 No group is gathered in one task, no list of pairs within a group is written, and nothing that grows
 with the input reaches the driver or is broadcast. A pair at the threshold shares no band with
-probability (1 - 0.8^3)^32, about 1e-10.
+probability (1 - 0.8^5)^40, about 1e-7.
 
 Cases: null and empty texts have no shingles, link with nothing and are kept; long texts count whole;
 repeated rows and equal texts are one class; a null doc_id never names a component unless its class has
@@ -28,18 +31,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, common, hashing
 from .components import components, roots
 
-REGISTERS, ROWS, MANTISSA = 96, 3, 10
+REGISTERS, ROWS, MANTISSA = 200, 5, 10
 BANDS = REGISTERS // ROWS
-MARGIN = 5
-#: A block holds so many members, or fewer whose sets reach BLOCK_BYTES.
-BLOCK, BLOCK_BYTES = 256, 2_000_000
+MARGIN = 4.5
+#: Buckets of so many members or fewer give their pairs.
+PAIRED = 12
+#: A family has a block for so many members, or bytes of their sets.
+BLOCK, BLOCK_BYTES = 512, 4_000_000
+#: For each register, the order in which it asks the others for a value.
+DONORS = np.argsort(hashing.mix(np.arange(REGISTERS**2, dtype=np.uint64) + np.uint64(7)).reshape(REGISTERS, REGISTERS), axis=1)
 FACTORS = hashing.mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -63,7 +69,7 @@ def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
-    """The registers of each set, uint16: leading zeros, mantissa, plus one; 0 if empty."""
+    """The registers of each set, uint16: leading zeros, mantissa, plus one; 0 throughout for an empty set."""
     sizes = np.array([len(s) for s in sets], np.int64)
     every = np.concatenate([*sets, np.empty(0, np.uint64)])
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -76,23 +82,33 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     _, exponent = np.frexp((least >> np.uint64(11)).astype(np.float64))
     zeros = np.minimum(53 - exponent, 53).astype(np.uint64)
     mantissa = (least << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
-    return np.where(filled, ((zeros << np.uint64(MANTISSA)) | mantissa) + np.uint64(1), 0).astype("<u2").reshape(-1, REGISTERS)
+    out = np.where(filled, ((zeros << np.uint64(MANTISSA)) | mantissa) + np.uint64(1), 0).astype("<u2").reshape(-1, REGISTERS)
+    filled = filled.reshape(-1, REGISTERS)
+    row, slot = np.nonzero(~filled & (sizes > 0)[:, None])
+    for turn in range(REGISTERS):
+        if not len(row):
+            break
+        donor = DONORS[slot, turn]
+        found = filled[row, donor]
+        out[row[found], slot[found]] = out[row[found], donor[found]]
+        row, slot = row[~found], slot[~found]
+    return out
+
+
+def spans(n: np.ndarray) -> np.ndarray:
+    """How likely a register of a set of n shingles has each count of leading zeros."""
+    per = n[:, None] / REGISTERS
+    return (1 - 0.5 ** np.arange(1, 54)) ** per - (1 - 0.5 ** np.arange(0, 53)) ** per
 
 
-def chance_matches(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """How likely a register of two disjoint sets of n and m shingles agrees."""
-    a, b = n[..., None] / REGISTERS, m[..., None] / REGISTERS
-    high, low = 0.5 ** np.arange(0, 53), 0.5 ** np.arange(1, 54)
-    within = lambda x: (1 - low) ** x - (1 - high) ** x
-    return (within(a) * within(b)).sum(axis=-1) / 2**MANTISSA
+def corrected(same, chance):
+    """A Jaccard estimate from the share of registers that agree and how likely disjoint sets' do."""
+    return (same - chance) / (1 - chance)
 
 
-def estimate(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected Jaccard estimates of register rows, and how many registers they rest on."""
-    used = ((x > 0) | (y > 0)).sum(axis=-1)
-    same = ((x == y) & (x > 0)).sum(axis=-1)
-    chance = chance_matches(n, m)
-    return (same / np.maximum(used, 1) - chance) / (1 - chance), used
+def least_estimate(n, m, percent: int):
+    """Estimates of pairs at the threshold lie above this but for one in 100,000."""
+    return percent / 100 - MARGIN * np.sqrt(0.2 / np.minimum(np.maximum(n, m), REGISTERS))
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
@@ -123,11 +139,11 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
-    """rep and key for each band that has a filled register."""
+    """rep and key for each band."""
     width = 2 * ROWS
     part = lambda j: F.substring(F.col("registers"), j * width + 1, F.lit(width))
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.when(part(j) != F.lit(bytes(width)), F.xxhash64(j, part(j))))
-    return classes.select("rep", F.explode(keys).alias("key")).where("key is not null")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.xxhash64(j, part(j)))
+    return classes.select("rep", F.explode(keys).alias("key"))
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -139,6 +155,22 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common_ >= percent * (small + large - common_)
 
 
+def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (node, parent) that the estimate doesn't rule out."""
+    side = lambda id_, n, r: classes.select(F.col("rep").alias(id_), F.col("n_shingles").alias(n), F.col("registers").alias(r))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy() for c in ("n", "m"))
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("x", "y"))
+            chance = (spans(n) * spans(m)).sum(axis=1) / 2**MANTISSA
+            keep = corrected((x == y).mean(axis=1), chance) >= least_estimate(n, m, percent)
+            yield batch.select(["node", "parent"]).filter(pa.array(keep))
+
+    both = pairs.join(side("node", "n", "x"), "node").join(side("parent", "m", "y"), "parent")
+    return both.select("node", "parent", "n", "m", "x", "y").mapInArrow(run, "node bigint, parent bigint")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (node, parent) whose full sets are alike."""
     left = sets.toDF("node", "x")
@@ -154,83 +186,53 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "node bigint, parent bigint")
 
 
-def blocks_of(members: DataFrame) -> DataFrame:
-    """Members (rep, comp, registers, shingles) in blocks, one row each, those of one component together."""
-    spark = members.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
-
-        def block() -> pa.RecordBatch:
-            reps, comps, registers, sets = zip(*held, strict=True)
-            row = {"block": [task + number], "low": [min(comps)], "high": [max(comps)], "reps": [list(reps)], "comps": [list(comps)], "registers": [b"".join(registers)], "sizes": [[len(s) // 8 for s in sets]], "shingles": [b"".join(sets)]}
-            return pa.RecordBatch.from_pydict(row)
-
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("rep", "comp", "registers", "shingles")), strict=True):
-                if held and (len(held) == BLOCK or size + len(row[3]) > BLOCK_BYTES):
-                    yield block()
-                    number, held, size = number + 1, [], 0
-                held.append(row)
-                size += len(row[3])
-        if held:
-            yield block()
-
-    ordered = members.select("rep", "comp", "registers", "shingles").repartitionByRange(parts, "comp", "rep").sortWithinPartitions("comp", "rep")
-    return ordered.mapInArrow(run, "block bigint, low bigint, high bigint, reps array<bigint>, comps array<bigint>, registers binary, sizes array<bigint>, shingles binary")
+def cells(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (rep, comp, family, registers, shingles) dealt into the blocks of their family, as the two sides of each pair of blocks."""
+    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    blocks = sizes.select("family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rest = ["family", "rep", "comp", "registers", "shingles"]
+    first = dealt.select(*rest, F.col("own").alias("p"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("q"))
+    second = dealt.select(*rest, F.explode(F.sequence(F.lit(0), F.col("own"))).alias("p"), F.col("own").alias("q"))
+    return first, second.toDF(*second.columns)
 
 
-def meet(x: dict, y: dict, percent: int) -> list[tuple[int, int]]:
+def meet(x: pa.Table, y: pa.Table, percent: int) -> pa.Table:
     """Links between components of the members of two blocks: enough to connect all that are alike."""
-    rx, ry = (np.frombuffer(b["registers"], "<u2").reshape(-1, REGISTERS) for b in (x, y))
-    cx, cy = (np.array(b["comps"]) for b in (x, y))
-    nx, ny = (np.array(b["sizes"]) for b in (x, y))
-    bands = lambda r: (r.reshape(len(r), BANDS, ROWS).astype(np.uint64) << np.array([0, 16, 32], np.uint64)).sum(axis=2)
-    bx, by = bands(rx), bands(ry)
-    shared = np.zeros((len(cx), len(cy)), bool)
-    for j in range(BANDS):
-        shared |= (bx[:, j, None] == by[None, :, j]) & (bx[:, j, None] > 0)
-    shared &= cx[:, None] != cy[None, :]
-    if x["block"] == y["block"]:
-        shared = np.triu(shared)
-    i, j = np.nonzero(shared)
-    if not len(i):
-        return []
-    guess, used = estimate(rx[i], ry[j], nx[i], ny[j])
-    near = guess >= percent / 100 - MARGIN * np.sqrt(0.25 / np.maximum(used, 1))
-    order = np.argsort(-guess[near], kind="stable")
-    i, j = i[near][order], j[near][order]
-    sx, sy = (np.split(np.frombuffer(b["shingles"], np.uint64), np.cumsum(b["sizes"])[:-1]) for b in (x, y))
-    parent: dict[int, int] = {}
-
-    def top(c: int) -> int:
-        while c in parent:
-            c = parent[c]
-        return c
-
     links = []
-    for p, q in zip(i.tolist(), j.tolist(), strict=True):
-        a, b = top(int(cx[p])), top(int(cy[q]))
-        if a != b and alike(sx[p], sy[q], percent):
-            parent[max(a, b)] = min(a, b)
-            links.append((int(cx[p]), int(cy[q])))
-    return links
-
-
-def block_links(blocks: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components, from the pairs (p, q) of blocks."""
-    names = ["block", "comps", "registers", "sizes", "shingles"]
-    half = lambda p: blocks.select(F.col("block").alias(p), F.struct(*names).alias(f"{p}_block"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                links = meet(batch.column("p_block")[k].as_py(), batch.column("q_block")[k].as_py(), percent)
-                yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    both = pairs.join(half("p"), "p").join(half("q"), "q").select("p_block", "q_block")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    if x.num_rows and y.num_rows:
+        rx, ry = (np.frombuffer(b"".join(t.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS) for t in (x, y))
+        sx, sy = ([np.frombuffer(v, np.uint64) for v in t.column("shingles").to_pylist()] for t in (x, y))
+        nx, ny = (np.array([len(v) for v in s]) for s in (sx, sy))
+        cx, cy = (t.column("comp").to_numpy() for t in (x, y))
+        ids, others = x.column("rep").to_numpy(), y.column("rep").to_numpy()
+        agree = np.zeros((len(rx), len(ry)), np.int16)
+        shared = np.zeros(agree.shape, bool)
+        for band in range(BANDS):
+            now = np.zeros(agree.shape, np.int16)
+            for k in range(band * ROWS, band * ROWS + ROWS):
+                now += rx[:, k, None] == ry[None, :, k]
+            agree += now
+            shared |= now == ROWS
+        guess = corrected(agree / REGISTERS, spans(nx) @ spans(ny).T / 2**MANTISSA)
+        shared &= (cx[:, None] != cy[None, :]) & (guess >= least_estimate(nx[:, None], ny[None, :], percent))
+        if x.column("p")[0].as_py() == x.column("q")[0].as_py():
+            shared &= ids[:, None] < others[None, :]
+        i, j = np.nonzero(shared)
+        order = np.argsort(-guess[i, j], kind="stable")
+        parent: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while c in parent:
+                c = parent[c]
+            return c
+
+        for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            a, b = top(int(cx[p])), top(int(cy[q]))
+            if a != b and alike(sx[p], sy[q], percent):
+                parent[max(a, b)] = min(a, b)
+                links.append((int(cx[p]), int(cy[q])))
+    return pa.Table.from_arrays([pa.array([c[k] for c in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def with_component(rows: DataFrame, found: DataFrame, node: str = "rep", to: str = "comp") -> DataFrame:
@@ -241,7 +243,7 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     spark = docs.sparkSession
     rows = common.materialize(features(docs, k), "features")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
+    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles"))
     classes = common.materialize(classes, "classes")
     bands = band_rows(classes)
     shared = bands.groupBy("key").agg(F.min("rep").alias("root"), F.max("rep").alias("other")).where("root < other").drop("other")
@@ -252,19 +254,22 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         sets = full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), k)
         sets = common.materialize(sets.dropDuplicates(["rep"]), "sets")
         pairs = members.groupBy(F.col("rep").alias("node")).agg(F.min("root").alias("parent")).where("parent < node")
-        found = roots(confirmed(pairs, sets, percent))
+        found = roots(confirmed(possible(pairs, classes, percent), sets, percent))
         placed = with_component(members.select("rep", "key"), found)
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        left = common.materialize(placed.join(mixed, "key", "left_semi"), "mixed")
-        if not left.isEmpty():
-            own = left.select("rep", "comp").distinct().join(classes.select("rep", "registers"), "rep").join(sets, "rep")
-            blocks = common.materialize(blocks_of(own), "blocks")
-            home = blocks.select("block", "low", "high", F.explode("reps").alias("rep"))
-            of_key = left.join(home, "rep").select("key", "block", "low", "high").distinct()
-            two = of_key.toDF("key", "p", "p_low", "p_high").join(of_key.toDF("key", "q", "q_low", "q_high"), "key")
-            one = (F.col("p_low") == F.col("p_high")) & (F.col("q_low") == F.col("q_high")) & (F.col("p_low") == F.col("q_low"))
-            meetings = two.where((F.col("p") <= F.col("q")) & ~one).select("p", "q").distinct()
-            links = components(block_links(blocks, meetings, percent))
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").drop("high")
+        left = common.materialize(placed.join(mixed, "key"), "mixed")
+        small = left.where(F.col("size") <= PAIRED).select("key", "rep", "comp")
+        two = small.toDF("key", "node", "node_comp").join(small.toDF("key", "parent", "parent_comp"), "key").where("node > parent and node_comp <> parent_comp")
+        apart = two.select("node", "parent").distinct()
+        near = confirmed(possible(apart, classes, percent), sets, percent)
+        near = with_component(with_component(near, found, "node", "a"), found, "parent", "b").select("a", "b")
+        large = left.where(F.col("size") > PAIRED)
+        if not large.isEmpty():
+            families = components(large.select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct())
+            own = with_component(large.select("rep", "comp").distinct(), families, "comp", "family").join(classes.select("rep", "registers"), "rep").join(sets, "rep")
+            first, second = (side.groupBy("family", "p", "q") for side in cells(common.materialize(own, "large")))
+            near = near.unionByName(first.cogroup(second).applyInArrow(lambda x, y: meet(x, y, percent), "a bigint, b bigint"))
+        links = components(near)
     reps = with_component(with_component(classes.select("digest", "rep"), found), links, "comp", "component_id").select("digest", "component_id")
     reps = common.materialize(reps, "reps")
     known = rows.join(reps, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
