@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from signalroom.plans import hidden
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _part in (hidden,):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
