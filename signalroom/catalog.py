@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from signalroom.plans import hidden
+from signalroom.plans import hidden, style
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (hidden,):
+for _part in (hidden, style):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES
