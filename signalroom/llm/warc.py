@@ -143,11 +143,12 @@ def members(data: bytes) -> Iterator[tuple[int, bytes]]:
     """The gzip members of an archive, each with where it starts."""
     at, view = 0, memoryview(data)
     while at < len(data):
-        unpack, parts, start = zlib.decompressobj(31), [], at
-        while not unpack.eof and at < len(data):
-            piece = view[at : at + 1_000_000]
+        unpack, parts, start, step = zlib.decompressobj(31), [], at, 2048
+        while not unpack.eof and at < len(data):  # what is left of the last piece is copied, so pieces start small
+            piece = view[at : at + step]
             parts.append(unpack.decompress(piece))
             at += len(piece) - len(unpack.unused_data)
+            step *= 2
         if not unpack.eof:
             raise ValueError(f"the record at {start} is cut off")
         yield start, b"".join(parts)
