@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from signalroom.plans import hidden, style
+from signalroom.plans import hidden, marks, style
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (hidden, style):
+for _part in (hidden, style, marks):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

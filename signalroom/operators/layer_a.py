@@ -39,7 +39,7 @@ SPARK = Dialect(
     char="decode(unhex('{utf8}'), 'UTF-8')",
     join_text="array_join(transform(array_sort(collect_list(struct(pos, out_ch))), x -> x.out_ch), '')",
     first_ten="array_join(transform(slice(array_sort(collect_list(pos)), 1, 10), x -> cast(x AS string)), ',')",
-    last="{side}_value({x}) IGNORE NULLS OVER {rows}",
+    last="last_value({x}) IGNORE NULLS OVER {rows}",
 )
 
 
@@ -79,7 +79,9 @@ def decisions(d: Dialect, *, strip_bidi: bool, aggressive: bool = False, strip_e
     alone = f"CASE {bidi_rules if not strip_bidi else ''} WHEN {within('cp', C.STRIP)} THEN 'strip' {space_rule} {confusable_rule} WHEN {match('ch', '^\\p{Cf}$')} AND NOT {within('cp', C.SPACES)} THEN 'strip' ELSE 'keep' END"
     latin = "".join(C.CONFUSABLES.values())
     rows = "PARTITION BY doc_id ORDER BY pos"
-    before, after = f"({rows} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", f"({rows} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    # Looking ahead is looking back in reverse order: frames that end at the last row cost the square of a text's length.
+    before = f"({rows} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    after = "(PARTITION BY doc_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     # A character that isn't glue is decided without what was kept before, so 'alone' is exact for it; orthographic
     # marks and operators between visible characters are the two others that context keeps.
     return f"""
@@ -93,7 +95,7 @@ near AS (
 sums AS (SELECT *, sum(turn) OVER ({rows} ROWS UNBOUNDED PRECEDING) AS total FROM near),
 lows AS (
   SELECT *, coalesce(least(0, min(total) OVER {before}), 0) AS low_before, least(0, min(total) OVER ({rows} ROWS UNBOUNDED PRECEDING)) AS low,
-    {d.last.format(side='last', x='''CASE WHEN NOT is_tag THEN cp END''', rows=before)} AS flag_before, {d.last.format(side='first', x='''CASE WHEN NOT is_tag THEN cp END''', rows=after)} AS flag_after,
+    {d.last.format(x='''CASE WHEN NOT is_tag THEN cp END''', rows=before)} AS flag_before, {d.last.format(x='''CASE WHEN NOT is_tag THEN cp END''', rows=after)} AS flag_after,
     lag(is_tag) OVER ({rows}) AS tag_before
   FROM sums),
 leveled AS (
@@ -114,8 +116,8 @@ marked AS (
     CASE WHEN {within('cp', C.ORTHOGRAPHIC)} AND {'false' if strip_emoji_glue else 'true'} THEN 'keep' {math_rule} ELSE {alone} END AS first_action
   FROM ready),
 based AS (
-  SELECT *, {d.last.format(side='last', x='''CASE WHEN NOT is_glue AND first_action <> 'strip' THEN CASE first_action WHEN 'space' THEN 32 ELSE cp END END''', rows=before)} AS kept_cp,
-    {d.last.format(side='last', x='''CASE WHEN NOT is_glue AND first_action <> 'strip' THEN ch END''', rows=before)} AS kept_ch
+  SELECT *, {d.last.format(x='''CASE WHEN NOT is_glue AND first_action <> 'strip' THEN CASE first_action WHEN 'space' THEN 32 ELSE cp END END''', rows=before)} AS kept_cp,
+    {d.last.format(x='''CASE WHEN NOT is_glue AND first_action <> 'strip' THEN ch END''', rows=before)} AS kept_ch
   FROM marked),
 decided AS (
   SELECT *, CASE {bidi_rules} {glue_rules} {math_rule}

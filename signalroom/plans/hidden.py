@@ -17,7 +17,7 @@ DUCKDB = Dialect(
     char="",
     join_text="string_agg(out_ch, '' ORDER BY pos)",
     first_ten="array_to_string(list(pos ORDER BY pos)[1:10], ',')",
-    last="{side}_value({x} IGNORE NULLS) OVER {rows}",
+    last="last_value({x} IGNORE NULLS) OVER {rows}",
 )
 
 

@@ -16,7 +16,7 @@ PHRASES = [
 
 
 def mark_sql(key: str, marks: list[str]) -> str:
-    quoted = ["'" + m.replace("'", "''") + "'" for m in marks]
+    quoted = ["'" + m.replace("'", "''").replace("{", "{{").replace("}", "}}") + "'" for m in marks]
     return f"CASE {key} % {len(marks)} " + " ".join(f"WHEN {k} THEN {q}" for k, q in enumerate(quoted)) + " END"
 
 
