@@ -152,8 +152,8 @@ graded AS (SELECT path, id, msg, has_c2pa, {CONFIDENCE.format('msg')} AS level F
 items AS (
   SELECT url AS path, 'p' || page_id AS id, 'html' AS kind, has_c2pa, len(list_filter(f, lambda x: NOT starts_with(x, 'info:'))) > 0 AS has_ai, 0 AS suspicious_total FROM found
   UNION ALL SELECT 'doc/' || d.doc_id, 'd' || d.doc_id, 'text', false, false, coalesce((SELECT sum(n) FROM hits h WHERE h.doc_id = d.doc_id), 0) FROM docs d),
-sums AS (SELECT id, count(*) AS findings, count_if(level IN ('confirmed', 'probable')) AS strong FROM graded GROUP BY id),
-whole AS (SELECT i.*, coalesce(findings, 0) AS findings, has_c2pa OR coalesce(strong, 0) > 0 AS actionable FROM items i LEFT JOIN sums s ON s.id = i.id)
+totals AS (SELECT id, count(*) AS findings, count_if(level IN ('confirmed', 'probable')) AS strong FROM graded GROUP BY id),
+whole AS (SELECT i.*, coalesce(findings, 0) AS findings, has_c2pa OR coalesce(strong, 0) > 0 AS actionable FROM items i LEFT JOIN totals s ON s.id = i.id)
 """
 RULED = """, ruled AS (SELECT path, level, CASE WHEN contains(lower(msg), 'c2pa') OR contains(lower(msg), 'jumbf') OR has_c2pa THEN 'AI-WATERMARK-C2PA' WHEN contains(lower(msg), 'layer-a') THEN 'AI-WATERMARK-UNICODE-LAYER-A'
   WHEN contains(lower(msg), 'stylometry') THEN 'AI-STYLES-HIGH-PROBABILITY' ELSE 'AI-WATERMARK-METADATA' END AS rule_id FROM graded)"""
@@ -171,7 +171,7 @@ QUERIES = {
 ORACLES = {
     "html_meta_findings": FOUND + f" SELECT page_id, place - 1 AS place, finding, {CONFIDENCE.format('finding')} AS level FROM (SELECT page_id, unnest(f) AS finding, generate_subscripts(f, 1) AS place FROM found)",
     "audit_items": ITEMS + "SELECT path, kind, has_c2pa, has_ai, CAST(suspicious_total AS BIGINT) AS suspicious_total, findings, actionable FROM whole",
-    "audit_summary": ITEMS + "SELECT (SELECT count(*) FROM whole) AS total, (SELECT count_if(has_c2pa) FROM whole) AS with_c2pa, (SELECT count_if(has_ai) FROM whole) AS with_ai, (SELECT count_if(suspicious_total > 0) FROM whole) AS with_suspicious_text, (SELECT count_if(actionable) FROM whole) AS actionable, " + ", ".join(f"(SELECT count_if(level = '{v}') FROM graded) AS {v}" for v in M.LEVELS),
+    "audit_summary": ITEMS + "SELECT (SELECT count(*) FROM whole) AS total, (SELECT count(*) FROM whole WHERE has_c2pa) AS with_c2pa, (SELECT count(*) FROM whole WHERE has_ai) AS with_ai, (SELECT count(*) FROM whole WHERE suspicious_total > 0) AS with_suspicious_text, (SELECT count(*) FROM whole WHERE actionable) AS actionable, " + ", ".join(f"(SELECT count(*) FROM graded WHERE level = '{v}') AS {v}" for v in M.LEVELS),
     "audit_by_kind": ITEMS + "SELECT kind, count(*) AS items FROM whole GROUP BY kind",
     "findings_by_confidence": ITEMS + "SELECT v.level, count(l.level) AS findings FROM (VALUES " + ", ".join(f"('{v}')" for v in M.LEVELS) + ") v(level) LEFT JOIN graded l ON l.level = v.level GROUP BY v.level",
     "sarif_results": ITEMS + RULED + " SELECT rule_id, CASE WHEN rule_id = 'AI-WATERMARK-C2PA' THEN 'error' WHEN rule_id LIKE '%LAYER-A' THEN CASE WHEN level IN ('confirmed', 'probable') THEN 'warning' ELSE 'note' END WHEN rule_id LIKE 'AI-STYLES%' THEN 'note' WHEN level = 'confirmed' THEN 'error' WHEN level = 'informational' THEN 'note' ELSE 'warning' END AS level, count(*) AS results, count(DISTINCT path) AS uris FROM ruled GROUP BY 1, 2",

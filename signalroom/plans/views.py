@@ -24,7 +24,7 @@ DOCS_SQL = f"SELECT doc_id, concat({mark_sql('doc_id', MARKS)}, replace(text, '
 PROSE_SQL = f"SELECT doc_id, lang, concat({mark_sql('doc_id', PHRASES)}, text) AS t FROM {{documents}}"
 HTML_MARKS = [
     '<meta name="generator" content="WordPress 6.5">', '<meta name="generator" content="Midjourney v6"><meta name="viewport" content="width=device-width">',
-    '<script type="application/ld+json">{"digitalSourceType":"trainedAlgorithmicMedia"}</script>', '<div data-ai-model="gpt"></div>', "",
+    '<script type="application/ld+json">{"digitalSourceType":"trainedAlgorithmicMedia","c2pa":"x"}</script>', '<div data-ai-model="gpt"></div>', "",
 ]
 PAGES_SQL = f"SELECT page_id, url, concat(html, {mark_sql('page_id', HTML_MARKS)}) AS html FROM {{pages}}"
 
