@@ -24,6 +24,7 @@ class Dialect:
     """The names that engines give to what the rules need."""
 
     chars: str
+    rest: str
     code: str
     matches: str
     char: str
@@ -32,8 +33,15 @@ class Dialect:
     last: str
 
 
+PIECES = """
+  SELECT doc_id, k, gap, run, coalesce(sum(char_length(gap) + coalesce(char_length(run), 0)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
+    lead(gap) OVER (PARTITION BY doc_id ORDER BY k) AS next_gap
+  FROM (SELECT doc_id, k, p.`0` AS gap, p.`1` AS run FROM (
+    SELECT doc_id, posexplode(arrays_zip(split(t, '(?s).?{suspect}+'), regexp_extract_all(t, '(?s).?{suspect}+', 0))) AS (k, p) FROM {{docs}} WHERE regexp_like(t, '{suspect}')))"""
+#: On Spark only suspect runs and the characters on either side of them become rows; the text between stays whole.
 SPARK = Dialect(
-    chars="SELECT doc_id, pos, ch FROM (SELECT doc_id, posexplode(split(t, '')) AS (pos, ch) FROM {{docs}} WHERE regexp_like(t, '{suspect}')) WHERE ch <> ''",
+    chars="SELECT doc_id, CAST(base + char_length(gap) + at AS INT) AS pos, ch FROM (SELECT doc_id, base, gap, posexplode(split(concat(run, left(coalesce(next_gap, ''), 1)), '')) AS (at, ch) FROM (" + PIECES + ") WHERE run IS NOT NULL) WHERE ch <> ''",
+    rest=" UNION ALL SELECT doc_id, CAST(base + (CASE WHEN k > 0 THEN 1 ELSE 0 END) AS INT), '', CASE WHEN k > 0 THEN substring(gap, 2) ELSE gap END, 'keep', false FROM (" + PIECES + ")",
     code="ascii(ch)",
     matches="regexp_like({0}, '{1}')",
     char="decode(unhex('{utf8}'), 'UTF-8')",
@@ -47,6 +55,11 @@ def spark_literal(pattern: str) -> str:
     return pattern.replace("\\", "\\\\")
 
 
+def suspect_class(aggressive: bool) -> str:
+    """What makes a text suspect, as a bracket expression."""
+    return C.SUSPECT[:-1] + (C.char_class([(ord(c), ord(c)) for c in C.CYRILLIC], [(0xFF21, 0xFF3A), (0xFF41, 0xFF5A)]) if aggressive else "") + "]"
+
+
 def decisions(d: Dialect, *, strip_bidi: bool, aggressive: bool = False, strip_emoji_glue: bool = False, normalize_spaces: bool = True, preserve_semantic: bool = True, escape=spark_literal) -> str:
     """SQL that gives every character of suspect texts its action, what comes out, and its kind if it is suspicious.
 
@@ -55,7 +68,7 @@ def decisions(d: Dialect, *, strip_bidi: bool, aggressive: bool = False, strip_e
     over the other characters finds it.
     """
     match = lambda x, p: d.matches.format(x, escape(p))
-    suspect = C.SUSPECT[:-1] + (C.char_class([(ord(c), ord(c)) for c in C.CYRILLIC], [(0xFF21, 0xFF3A), (0xFF41, 0xFF5A)]) if aggressive else "") + "]"
+    suspect = suspect_class(aggressive)
     chars = d.chars.format(suspect=escape(suspect))
     script = lambda cp, ch: "CASE WHEN NOT " + match(ch, "^[\\p{L}\\p{M}]$") + " THEN NULL " + " ".join(f"WHEN {cp} BETWEEN {a} AND {b} THEN '{n}'" for n, a, b in C.SCRIPTS) + " END"
     visible = lambda cp, ch: f"({ch} IS NOT NULL AND {cp} > 31 AND NOT {cp} BETWEEN 127 AND 159 AND NOT {match(ch, '^[\\p{C}\\p{Z}]$')})"
@@ -79,6 +92,7 @@ def decisions(d: Dialect, *, strip_bidi: bool, aggressive: bool = False, strip_e
     alone = f"CASE {bidi_rules if not strip_bidi else ''} WHEN {within('cp', C.STRIP)} THEN 'strip' {space_rule} {confusable_rule} WHEN {match('ch', '^\\p{Cf}$')} AND NOT {within('cp', C.SPACES)} THEN 'strip' ELSE 'keep' END"
     latin = "".join(C.CONFUSABLES.values())
     rows = "PARTITION BY doc_id ORDER BY pos"
+    side = lambda f, what, step: f"CASE WHEN {f}(pos) OVER ({rows}) = pos {step} THEN {f}({what}) OVER ({rows}) END"
     # Looking ahead is looking back in reverse order: frames that end at the last row cost the square of a text's length.
     before = f"({rows} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     after = "(PARTITION BY doc_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -88,7 +102,7 @@ def decisions(d: Dialect, *, strip_bidi: bool, aggressive: bool = False, strip_e
 WITH chars AS ({chars}),
 coded AS (SELECT doc_id, pos, ch, {d.code} AS cp FROM chars),
 near AS (
-  SELECT *, lag(cp) OVER ({rows}) AS prev_cp, lead(cp) OVER ({rows}) AS next_cp, lag(ch) OVER ({rows}) AS prev_ch, lead(ch) OVER ({rows}) AS next_ch,
+  SELECT *, {side('lag', 'cp', '- 1')} AS prev_cp, {side('lead', 'cp', '+ 1')} AS next_cp, {side('lag', 'ch', '- 1')} AS prev_ch, {side('lead', 'ch', '+ 1')} AS next_ch,
     CASE WHEN cp IN (8234, 8235, 8237, 8238) THEN 1 WHEN cp = 8236 THEN -1 ELSE 0 END AS turn,
     cp BETWEEN {0xE0020} AND {0xE007E} AS is_tag
   FROM coded),
@@ -159,9 +173,11 @@ def kind_counts(docs: DataFrame) -> DataFrame:
 
 def clean_sql(d: Dialect, **options) -> str:
     """The rebuilt text of suspect documents, and how many characters went, changed, or were kept as meaningful."""
-    return decisions(d, strip_bidi=options.pop("strip_bidi", False), **options) + f"""
+    escape = options.get("escape", spark_literal)
+    rest = d.rest.format(suspect=escape(suspect_class(options.get("aggressive", False))))
+    return decisions(d, strip_bidi=options.pop("strip_bidi", False), **options) + f""", whole AS (SELECT doc_id, pos, ch, out_ch, action, preserved FROM result{rest})
 SELECT doc_id, {d.join_text} AS cleaned, count(CASE WHEN action = 'strip' THEN 1 END) AS removed,
-  count(CASE WHEN action = 'replace' THEN 1 END) AS replaced, count(CASE WHEN preserved THEN 1 END) AS preserved FROM result GROUP BY doc_id"""
+  count(CASE WHEN action = 'replace' THEN 1 END) AS replaced, count(CASE WHEN preserved THEN 1 END) AS preserved FROM whole GROUP BY doc_id"""
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:

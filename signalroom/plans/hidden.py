@@ -12,6 +12,7 @@ from . import views
 #: The same rules on DuckDB's functions.
 DUCKDB = Dialect(
     chars="SELECT doc_id, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS ch FROM (SELECT doc_id, string_split(t, '') AS a FROM docs WHERE regexp_matches(t, '{suspect}'))",
+    rest="",
     code="unicode(ch)",
     matches="regexp_matches({0}, '{1}')",
     char="",
