@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from signalroom.plans import hidden, marks, style
+from signalroom.plans import hidden, marks, more, style
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _part in (hidden, style, marks):
+for _part in (hidden, style, marks, more):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,3 +116,29 @@ def bigram_divergence(a: Column, b: Column) -> Column:
         return F.when((F.size(x) == 0) & (F.size(y) == 0), 0.0).when((F.size(x) == 0) | (F.size(y) == 0), 1.0).when(union == 0, 0.0).otherwise(1.0 - both / union)
 
     return let(a, lambda x: let(b, lambda y: of(x, y)))
+
+
+def chunks(text: Column, most: int = 1200) -> Column:
+    """Paragraphs, or the sentences of long ones, packed in order to about ``most`` characters; a text without any stays whole."""
+    trim = lambda p: F.regexp_replace(p, f"^[{P.WHITE}]+|[{P.WHITE}]+$", "")
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), f"\\n[{P.WHITE}]*\\n"), trim), lambda p: p != "")
+    cut = lambda p: F.filter(F.split(F.regexp_replace(p, f"([.!?])[{P.WHITE}]+", "$1\u001e"), "\u001e"), lambda s: trim(s) != "")
+    units = F.flatten(F.transform(paragraphs, lambda p: F.when(F.char_length(p) <= most, F.array(p)).otherwise(cut(p))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def step(a: Column, u: Column) -> Column:
+        full = (a["now"] != "") & (F.char_length(a["now"]) + F.char_length(u) + 2 > most)
+        longer = F.when(a["now"] == "", u).otherwise(F.concat(a["now"], F.lit("\n\n"), u))
+        return F.struct(F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"), F.when(full, u).otherwise(longer).alias("now"))
+
+    packed = F.aggregate(units, start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+    return let(packed, lambda c: F.when(F.size(c) == 0, F.array(F.coalesce(text, F.lit("")))).otherwise(c))
+
+
+def nfkc(text: Column) -> Column:
+    """Compatibility normal form, which Spark has no function for."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    return F.pandas_udf(run, "string")(text)

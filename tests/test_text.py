@@ -112,3 +112,30 @@ def test_stream_of_files(spark, tmp_path):
     reports = arrivals.arriving_files(spark, str(tmp_path / "in"))
     arrivals.write_audit(reports, str(tmp_path / "out"), str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).first().format == "gif"
+
+
+def packed(text, most):
+    """The same in plain Python, one unit at a time."""
+    import re
+
+    units = []
+    for p in (p.strip() for p in re.split(r"\n\s*\n", text)):
+        units += [p] if 0 < len(p) <= most else [s for s in re.split(r"(?<=[.!?])\s+", p) if s.strip()]
+    out, now = [], ""
+    for u in units:
+        if now and len(now) + len(u) + 2 > most:
+            out, now = [*out, now], u
+        else:
+            now = f"{now}\n\n{u}" if now else u
+    return [*out, now] if now else out or [text]
+
+
+def test_chunks(spark):
+    texts = ["", "one", "a b.\n\nc d. e f! g?\n \nh" * 3, "long sentence one. " * 20 + "\n\nshort", "  \n\n  "]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.chunks(F.col("t"), 40)).collect()
+    assert [r[0] for r in got] == [packed(t, 40) for t in texts]
+
+
+def test_nfkc(spark):
+    got = spark.createDataFrame([("ﬁ Ａ",), (None,)], "t string").select(X.nfkc(F.col("t"))).collect()
+    assert [r[0] for r in got] == ["fi A", None]
