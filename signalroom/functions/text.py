@@ -61,9 +61,13 @@ def mattr(found: Column, window: int = 50) -> Column:
 
 
 def phrase_counts(text: Column) -> Column:
-    """How often each phrase occurs, in the order of the table. The longest phrases are plain first: texts without their head words skip the search."""
-    low = scanned(text)
-    return F.array(*[F.regexp_count(low, F.lit(P.java(p))) for p, _, _ in P.PHRASES])
+    """How often each phrase occurs, in the order of the table. A phrase is searched for only where the letters it needs occur."""
+
+    def of(t: Column, low: Column) -> Column:
+        count = lambda pattern: F.regexp_count(t, F.lit(P.java(pattern)))
+        return F.array(*[F.when(F.contains(low, F.lit(need)), count(p)).otherwise(0) if need else count(p) for (p, _, _), need in zip(P.PHRASES, P.NEEDS, strict=True)])
+
+    return let(scanned(text), lambda t: let(F.lower(t), lambda low: of(t, low)))
 
 
 def density(counts: Column, n_words: Column) -> Column:

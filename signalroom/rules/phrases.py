@@ -31,6 +31,11 @@ PHRASES = [
 ]
 # Words that count as common.
 COMMON = "the a an and or but of to in on for with as at by from is are was were be been it its this that these those i you he she we they not no do does did have has had will would can could should may might must".split()
+#: What a text in small letters must hold for each phrase to occur; letters that other signs fold to are left out.
+NEEDS = [
+    "delve", "tament", "tape", "role", "", "", "only", "erve", "under", "ter", "eamle", "nav", "faceted", "harne", "myr", "parad", "hol", "concl",
+    "ummar", "ult", "furthermore", "moreover", "", "hope",
+]
 #: White space as Python's \s has it, for the inside of brackets.
 WHITE = "\\s\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0B}"
 WORD_CHARS = "\\p{L}\\p{N}_"
