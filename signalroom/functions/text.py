@@ -50,11 +50,25 @@ def burstiness(found: Column) -> Column:
 
 
 def mattr(found: Column, window: int = 50) -> Column:
-    """Moving-average type-token ratio."""
+    """Moving-average type-token ratio.
+
+    A word is a window's first of its kind in the windows that begin after its last occurrence, so one sort of
+    the words by kind and place gives the sum of all windows' distinct words.
+    """
 
     def of(w: Column) -> Column:
         n = F.size(w)
-        slides = F.aggregate(F.sequence(F.lit(1), n - (window - 1)), F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice(w, i, F.lit(window)))))
+        last = n - window
+
+        def firsts(s: Column) -> Column:
+            def gained(e: Column, j: Column) -> Column:
+                before = F.get(s, j - 1)
+                since = F.when((j > 0) & (before["w"] == e["w"]), before["i"] + 1).otherwise(0)
+                return F.greatest(F.lit(0), F.least(e["i"], last) - F.greatest(since, e["i"] - (window - 1)) + 1)
+
+            return F.aggregate(F.transform(s, gained), F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+        slides = let(F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i")))), firsts)
         return F.when(n == 0, F.lit(0.0)).when(n <= window, F.size(F.array_distinct(w)) / n).otherwise(slides / F.lit(window) / (n - (window - 1)))
 
     return let(found, of)
