@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from signalroom.rules import phrases as P
 
-MOST_CHARS = 2_000_000
-
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once however often body uses it."""
@@ -20,7 +18,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def scanned(text: Column) -> Column:
-    return F.substring(F.coalesce(text, F.lit("")), 1, MOST_CHARS)
+    return F.coalesce(text, F.lit(""))
 
 
 def words(text: Column) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from signalroom.functions import text as X
 from signalroom.operators import findings, layer_a, markup
+from signalroom.plans import style
 from signalroom.sources import files
 from signalroom.streaming import arrivals
 
@@ -139,3 +140,13 @@ def test_chunks(spark):
 def test_nfkc(spark):
     got = spark.createDataFrame([("ﬁ Ａ",), (None,)], "t string").select(X.nfkc(F.col("t"))).collect()
     assert [r[0] for r in got] == ["fi A", None]
+
+
+def test_long_texts_are_read_whole(spark, tmp_path):
+    text = "word " * 400_001 + "\n\nMoreover, the end."
+    spark.createDataFrame([(5, "en", text)], "doc_id bigint, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    ask = lambda name: style.QUERIES[name](spark, str(tmp_path)).collect()
+    assert [(r.words, r.distinct_words) for r in ask("words")] == [(400_004, 4)]
+    assert [(r.place, r.words) for r in sorted(ask("sentence_lengths"))] == [(0, 400_001), (1, 3)]
+    assert [(r.phrase, r.n) for r in ask("phrase_hits")] == [("moreover,", 1)]
+    assert [(r.words, r.sentences) for r in ask("stylometry_score")] == [(400_004, 2)]
