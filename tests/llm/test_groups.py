@@ -108,6 +108,17 @@ def test_nearest_recall_and_order(spark):
     assert ann.nearest(table.where("vec_id < 0"), table, 20).count() == 0
 
 
+def test_nearest_within_each_length(spark):
+    wide, narrow = vectors(60), vectors(40, seed=4)[:, :7]
+    every = {k: v.astype(np.float64) for k, v in enumerate([*wide, *narrow])}
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in every.items()], "vec_id bigint, embedding array<float>")
+    found = ann.nearest(table, table.where("vec_id in (3, 70, 99)"), 5).collect()
+    for q in (3, 70, 99):
+        scores = {i: float((v * every[q]).sum()) for i, v in every.items() if i != q and len(v) == len(every[q])}
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])] == sorted(scores, key=lambda i: (-scores[i], i))[:5]
+    assert len(found) == 15
+
+
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(9)
     codes = rng.integers(0, 2**16, (500, ann.PARTS), dtype=np.uint16)
