@@ -1,7 +1,7 @@
 """Near-duplicate groups by HyperMinHash.
 
 1. Every text becomes its set of word shingles (64-bit hashes). Texts of one set form a class, which
-   goes on as one row: its smallest doc_id.
+   goes on as one row, with a key from the set; its smallest doc_id, null last, is who may stay.
 2. A class has REGISTERS registers. A shingle falls into one register, which keeps the smallest hash,
    stored as its count of leading zeros and MANTISSA further bits. A register that got none takes the
    value of the first filled one in an order of its own, so bands of short texts are as selective as
@@ -20,8 +20,8 @@ with the input reaches the driver or is broadcast. A pair at the threshold share
 probability (1 - 0.8^5)^40, about 1e-7.
 
 Cases: null and empty texts have no shingles, link with nothing and are kept; long texts count whole;
-repeated rows and equal texts are one class; a null doc_id never names a component unless its class has
-no other; an empty table gives no rows; only named columns are read, so others cannot clash.
+repeated rows and equal texts are one class; rows without a doc_id link like others, and null names a
+component only if none of its rows has a doc_id; the texts of a repeated doc_id link each for itself; an empty table gives no rows; only named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, common, hashing
@@ -111,8 +111,13 @@ def least_estimate(n, m, percent: int):
     return percent / 100 - MARGIN * np.sqrt(0.2 / np.minimum(np.maximum(n, m), REGISTERS))
 
 
+def mark(text: str) -> Column:
+    """What tells the texts under one doc_id, or under none, apart."""
+    return F.unhex(F.md5(text)).alias("mark")
+
+
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and registers."""
+    """doc_id, mark of the text, n_shingles, digest of the set, and registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -121,21 +126,22 @@ def features(docs: DataFrame, k: int) -> DataFrame:
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 digests = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
                 registers = pa.array([r.tobytes() for r in sketch(sets)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, digests, registers], names=["doc_id", "n_shingles", "digest", "registers"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), sizes, digests, registers], names=["doc_id", "mark", "n_shingles", "digest", "registers"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, registers binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text", mark("text")).mapInArrow(run, "doc_id bigint, mark binary, n_shingles bigint, digest binary, registers binary")
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and its sorted shingle hashes."""
+    """The key of a set and its sorted shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in bpe.pieces_of(whole, "text", 2_000_000):
                 sets = shingle_sets(batch.column(1).to_pylist(), k)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
+                digests = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([digests, pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "rep bigint, shingles binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "digest binary, shingles binary").select(F.xxhash64("digest").alias("rep"), "shingles")
 
 
 def band_rows(classes: DataFrame) -> DataFrame:
@@ -239,19 +245,20 @@ def with_component(rows: DataFrame, found: DataFrame, node: str = "rep", to: str
     return rows.join(found.toDF(node, "_root"), node, "left").withColumn(to, F.coalesce("_root", node)).drop("_root")
 
 
-def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def marked(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, mark, n_shingles, component_id and kept of every row."""
     spark = docs.sparkSession
     rows = common.materialize(features(docs, k), "features")
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles"))
+    classes = rows.where("n_shingles > 0").groupBy(F.xxhash64("digest").alias("rep"), "digest").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("least"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n_shingles"))
     classes = common.materialize(classes, "classes")
     bands = band_rows(classes)
     shared = bands.groupBy("key").agg(F.min("rep").alias("root"), F.max("rep").alias("other")).where("root < other").drop("other")
     members = common.materialize(bands.join(shared, "key"), "members")
     found = links = spark.createDataFrame([], "node bigint, root bigint")
     if not members.isEmpty():
-        wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-        sets = full_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi"), k)
+        wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").where("not least.none").select("least.doc_id").distinct()
+        texts = docs.select("doc_id", "text")
+        sets = full_sets(texts.join(wanted, "doc_id", "left_semi").unionByName(texts.where("doc_id is null")), k)
         sets = common.materialize(sets.dropDuplicates(["rep"]), "sets")
         pairs = members.groupBy(F.col("rep").alias("node")).agg(F.min("root").alias("parent")).where("parent < node")
         found = roots(confirmed(possible(pairs, classes, percent), sets, percent))
@@ -270,10 +277,18 @@ def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             first, second = (side.groupBy("family", "p", "q") for side in cells(common.materialize(own, "large")))
             near = near.unionByName(first.cogroup(second).applyInArrow(lambda x, y: meet(x, y, percent), "a bigint, b bigint"))
         links = components(near)
-    reps = with_component(with_component(classes.select("digest", "rep"), found), links, "comp", "component_id").select("digest", "component_id")
+    reps = with_component(with_component(classes.select("digest", "rep", "least"), found), links, "comp", "root").select("digest", "root", "least")
     reps = common.materialize(reps, "reps")
-    known = rows.join(reps, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return known.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = reps.groupBy("root").agg(F.min("least").alias("stays"))
+    known = rows.join(reps.join(stays, "root").select("digest", "stays"), "digest", "left")
+    alone = F.col("stays").isNull()
+    kept = alone | (F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & F.col("mark").eqNullSafe(F.col("stays.mark")))
+    return known.select("doc_id", "mark", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("stays.doc_id")).alias("component_id"), kept.alias("kept"))
+
+
+def group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    return marked(docs, k, percent).drop("mark")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,6 +296,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, the one of the smallest doc_id; of rows that repeat, one."""
-    kept = group(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    """Keeps one row of each group: that of the smallest doc_id (null last), then of the least mark of its text."""
+    kept = marked(docs, 5, 80).where("kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_kept")).distinct()
+    rows = docs.withColumn("_mark", mark("text"))
+    same = rows["doc_id"].eqNullSafe(kept["_id"]) & rows["_mark"].eqNullSafe(kept["_kept"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")

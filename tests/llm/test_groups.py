@@ -59,6 +59,14 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, paired, block):
     assert minhash.group(corpus.empty(spark)).count() == 0
 
 
+def test_near_stage_decides_by_row(spark):
+    base, other, third = (corpus.prose(k, 120) for k in (501, 502, 503))
+    rows = [(None, ""), (None, base), (None, base + " tail"), (1, other), (2, other + " tail"), (2, third), (None, third + " tail"), (None, other.replace("a", "A"))]
+    found = minhash.stage(spark, corpus.documents(spark, rows), "").collect()
+    assert {(r.doc_id, r.text) for r in found} - {(None, base), (None, base + " tail")} == {(None, ""), (1, other), (2, third)}
+    assert len(found) == 4
+
+
 def test_estimate_follows_similarity():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
