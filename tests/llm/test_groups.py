@@ -9,6 +9,7 @@ import sys
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from signalroom.llm import ann, minhash, registry, warc
@@ -129,14 +130,45 @@ def test_nearest_within_each_length(spark):
 
 def test_probing_finds_every_code_within_the_radius():
     rng = np.random.default_rng(9)
-    codes = rng.integers(0, 2**16, (500, ann.PARTS), dtype=np.uint16)
-    index = ann.Index(codes)
-    asked = codes[:5] ^ np.uint16(3)
-    found, _ = index.within(asked, 30, 0)
-    for code, rows in zip(asked, found, strict=True):
-        far = np.bitwise_count(codes ^ code).sum(axis=1)
-        limit = np.sort(far)[29]
-        assert set(rows.tolist()) == set(np.flatnonzero(far <= limit).tolist())
+    codes = rng.integers(0, 2**16, (300, ann.PARTS), dtype=np.uint16)
+    codes[100:200] = codes[:100] ^ rng.integers(0, 2, (100, ann.PARTS), dtype=np.uint16)
+    asked = codes[:20] ^ np.uint16(1)
+    raw = lambda x: pa.array([c.tobytes() for c in x])
+    for bits in (0, 2):
+        for radius in (0, 10, 20, 37, 100, 256):
+            flips, found = ann.masks(bits, bits), []
+            for part in range(ann.PARTS):
+                for prefix in range(1 << bits):
+                    mine = np.flatnonzero(codes[:, part] >> (ann.WIDTH - bits) == prefix) if bits else np.arange(len(codes))
+                    left = pa.table({"part": [part] * len(mine), "rep": pa.array(mine, pa.int64()), "code": raw(codes[mine])})
+                    may = int(ann.allowed(np.array([radius]))[0, part])
+                    near = [q for q in range(20) if bin((int(asked[q, part]) >> (ann.WIDTH - bits) if bits else 0) ^ prefix).count("1") <= may]
+                    right = pa.table({"q": pa.array(near, pa.int64()), "code": raw(asked[near]), "radius": pa.array([radius] * len(near), pa.int64())})
+                    out = ann.search_cell(left, right)
+                    found += [(q, r) for q, r in zip(out.column("q").to_pylist(), out.column("rep").to_pylist(), strict=True) if r is not None]
+            assert len(flips) == 1 << bits and len(found) == len(set(found))
+            far = np.bitwise_count(asked[:, None] ^ codes[None]).sum(axis=2)
+            assert set(found) == set(map(tuple, np.argwhere(far <= radius).tolist()))
+
+
+def test_clustered_vectors_are_not_scanned(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE", 500)
+    monkeypatch.setattr(ann, "CELL", 300)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((40, 32))[np.arange(2400) % 40] + 0.02 * rng.standard_normal((2400, 32))
+    x[:1000:20] = x[0]  # one vector that many rows have, queries too
+    rows = [(k, v.tolist(), 1, 2.0, "x") for k, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, q bigint, score double, rep string")
+    found = ann.nearest(table, table.where("vec_id % 20 = 0")).collect()
+    hits = 0
+    for q in range(0, 2400, 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        hits += len(set(np.lexsort((np.arange(2400), -scores))[:20].tolist()) & {r.vec_id for r in found if r.query_id == q})
+    assert len(found) == 120 * 20 and hits / len(found) >= 0.9
+    assert np.mean([r.met for r in found]) < 1200
+    hot = [r.vec_id for r in sorted((r for r in found if r.query_id == 40), key=lambda r: r["rank"])]
+    assert hot == [k for k in range(0, 1000, 20) if k != 40][:20]
 
 
 PAGES = [(1, "http://a.example/x y", "<p>one</p>"), (2, None, None), (3, "http://b.example/", ""), (4, "http://c.example/", "<p>one</p>"), (5, "http://d.example/", "é" * 30000), (5, "http://d.example/", "é" * 30000), (None, "http://e.example/", "<p>one</p>"), (None, "http://f.example/", "alone")]
