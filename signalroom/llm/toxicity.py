@@ -2,10 +2,13 @@
 
 Training, on a bounded sample of labelled rows, half by half:
 
-* Both dictionaries share entropy tables and a base that zstandard trains on ordinary text. The toxic one
-  ends in words from toxic texts, chosen greedily to cover the letter runs that are far commoner there;
-  the ordinary one ends in as much ordinary text. So a window's lengths under the two differ only by
-  what the class's own ending holds.
+* zstandard trains a base on windows of ordinary text; both dictionaries begin with it and its entropy
+  tables. What the base doesn't hold of each class's texts is left over, and on that zstandard trains one
+  dictionary for each class, by the same procedure. The ordinary dictionary is the base with what was
+  trained on ordinary text, the toxic one the base with what was trained on toxic text. So a window's
+  lengths under the two differ only by what the classes' own dictionaries hold. (Two dictionaries without
+  a common base differ mostly in which ordinary passages they happen to hold: that found 0.05 of the toxic
+  texts instead of 0.9.)
 * Every run of WORDS words is a window, so a word lies in WORDS windows (fewer at the ends), and the sum
   of their differences is the word's. On the other half, the distribution of that sum over the words of
   either class gives a log ratio for each sum; a logistic fit on a text's total of these, its largest
@@ -14,19 +17,18 @@ Training, on a bounded sample of labelled rows, half by half:
 Scoring reads every word of every text.
 
 Sample: at most TRAIN_TOXIC and TRAIN_ORDINARY labelled texts of at most TRAIN_BYTES bytes, those of the
-smallest hashes, whose weights restore the classes' shares. The driver holds that sample, and the
-dictionaries (about 120 kB each) are broadcast.
+smallest hashes, and of these in turn as many as have SAMPLE_BYTES bytes together for each class; weights
+restore the classes' shares. The driver holds that sample, and the dictionaries (about 120 kB each) are
+broadcast.
 
 Cases: null and empty texts have no words and get the score of that; long texts are read whole;
-repeated rows score alike; with no labelled rows of one class every score is 0; an empty table gives no
+repeated rows score alike, and of an id with several texts the shortest may be in the sample; null ids aren't; with no labelled rows of one class every score is 0; an empty table gives no
 rows; columns pass through and a clash with the two new names is refused.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,12 @@ from . import bpe, common
 
 WORDS = 6
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_BYTES = 3000, 5000, 200_000
-GRAM, ENDING, BASE = 5, 2048, 112_640
-#: How much commoner a letter run must be in toxic texts, and its least share of them.
-RATIO, SHARE = 30, 0.01
+SAMPLE_BYTES = 64_000_000
+#: Bytes of the base and of a class's own dictionary, and how zstandard cuts samples for them: segments and runs.
+BASE, BASE_CUT = 112_640, {"k": 64, "d": 8}
+OWN, OWN_CUT = 2348, {"k": 16, "d": 8}
+#: zstandard finds no match of fewer bytes.
+GRAM = 5
 LOW, HIGH = -12, 40
 THRESHOLD = 0.7
 #: ASCII capitals become small; all else in ASCII but letters becomes a space.
@@ -57,56 +62,43 @@ def windows(found: list[bytes], shift: int) -> list[bytes]:
     return first + [b" %b " % b" ".join(found[i : i + WORDS]) for i in range(shift, len(found), WORDS)]
 
 
-def runs(word: bytes) -> set[bytes]:
-    """The letter runs of a word and the spaces around it."""
-    word = b" %b " % word
-    return {word[i : i + GRAM] for i in range(len(word) - GRAM + 1)}
+def trained(size: int, samples: list[bytes], cut: dict[str, int]) -> tuple[bytes, bytes]:
+    """A dictionary as zstandard trains it: entropy tables and content; the samples' last bytes if they are too few to train on."""
+    try:
+        whole = zstandard.train_dictionary(size, samples, level=3, **cut).as_bytes()
+        head = whole.index(b"\1\0\0\0\4\0\0\0\x08\0\0\0") + 12  # entropy tables end in the three first offsets
+        return whole[:head], whole[head:]
+    except (zstandard.ZstdError, ValueError):
+        return b"", b"".join(samples)[-size:]
 
 
-def shares(texts: list[list[bytes]]) -> Counter:
-    out: Counter = Counter()
-    for t in texts:
-        out.update(set().union(*map(runs, set(t))))
-    return out
+def left_over(texts: list[list[bytes]], held: set[bytes]) -> list[bytes]:
+    """Of each text, the parts of its words that no match with the held runs can cover."""
+    known: dict[bytes, bytes] = {}
 
+    def of(word: bytes) -> bytes:
+        if word not in known:
+            spaced, out = b" %b " % word, []
+            for i in range(len(spaced) - GRAM + 1):
+                if spaced[i : i + GRAM] not in held:
+                    if out and i <= out[-1][1]:
+                        out[-1][1] = i + GRAM
+                    else:
+                        out.append([i, i + GRAM])
+            known[word] = b"".join(spaced[a:b] for a, b in out)
+        return known[word]
 
-def cover(candidates: set[bytes], worth: dict[bytes, int], size: int) -> bytes:
-    """Words that greedily cover the most worth, the best last, where matches are cheapest."""
-    worth = dict(worth)
-    value = lambda w: sum(worth.get(g, 0) for g in runs(w))
-    heap = [(-value(w), w) for w in candidates]
-    heapify(heap)
-    chosen, total = [], 0
-    while heap and total < size:
-        _, word = heappop(heap)
-        now = value(word)
-        if now and heap and now < -heap[0][0]:
-            heappush(heap, (-now, word))
-        elif now:
-            chosen.append(word)
-            total += len(word) + 1
-            for g in runs(word):
-                worth.pop(g, None)
-    return b" %b " % b" ".join(reversed(chosen))
+    return [x for x in (b"".join(map(of, t)) for t in texts) if len(x) > 8]
 
 
 def dictionaries(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary."""
-    in_toxic, in_ordinary = shares(toxic), shares(ordinary)
-    least = max(2, SHARE * len(toxic))
-    worth = {g: c for g, c in in_toxic.items() if c >= least and c * len(ordinary) >= RATIO * len(toxic) * (in_ordinary[g] + 1)}
-    if not worth:
-        worth = {g: c for g, c in in_toxic.items() if c >= least and not in_ordinary[g]}
-    ending = cover({w for t in toxic for w in set(t) if runs(w) & worth.keys()}, worth, ENDING)
-    samples = [w for t in ordinary for w in windows(t, 0)][:100_000]
-    plain = b" ".join(w for t in reversed(ordinary) for w in t)[: len(ending)].rjust(len(ending))
-    try:
-        trained = zstandard.train_dictionary(BASE, samples, k=64, d=8, level=3).as_bytes()
-        head = trained.index(b"\1\0\0\0\4\0\0\0\x08\0\0\0") + 12  # entropy tables end in the three first offsets
-        base = trained[head:]
-    except (zstandard.ZstdError, ValueError):  # too few samples for tables
-        trained, head, base = b"", 0, b"".join(samples)[:BASE].rjust(64)
-    return trained[:head] + base + plain, trained[:head] + base + ending
+    tables, base = trained(BASE, [w for t in ordinary for w in windows(t, 0)], BASE_CUT)
+    held = {base[i : i + GRAM] for i in range(len(base) - GRAM + 1)}
+    own = [trained(OWN, left_over(texts, held), OWN_CUT)[1] for texts in (ordinary, toxic)]
+    size = max(64, *map(len, own))
+    plain, bad = (x.rjust(size) for x in own)
+    return tables + base + plain, tables + base + bad
 
 
 class Scorer:
@@ -200,8 +192,16 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], t
     picked = [usable.where(F.col("toxic") == k).orderBy(*order).limit(n) for k, n in ((1, TRAIN_TOXIC), (0, TRAIN_ORDINARY))]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most TRAIN_TOXIC + TRAIN_ORDINARY rows
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(ids, "doc_id")
-    rows = texts.select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["toxic"], r["h"], r["doc_id"], r["text"]))
+    least = F.min(F.struct(F.octet_length("text").alias("size"), "text")).alias("t")
+    texts = common.materialize(texts.groupBy("doc_id", "toxic").agg(least).select("doc_id", "toxic", F.xxhash64("doc_id").alias("h"), "t.*"), "sample")
+    chosen, total = [], [0, 0]
+    for r in sorted(texts.select("h", "doc_id", "toxic", "size").collect()):
+        if total[r["toxic"]] + r["size"] <= SAMPLE_BYTES:
+            total[r["toxic"]] += r["size"]
+            chosen.append((r["doc_id"],))
+    kept = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id bigint"))  # at most TRAIN_TOXIC + TRAIN_ORDINARY rows
+    rows = texts.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(kept, "doc_id").collect()
+    rows.sort(key=lambda r: (r["toxic"], r["h"], r["doc_id"]))
     return [(r["text"], r["toxic"]) for r in rows], (counts.get(0, 0), counts.get(1, 0))
 
 

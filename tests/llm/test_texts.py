@@ -256,3 +256,42 @@ def test_toxicity_on_held_out(spark):
     assert toxicity.score(corpus.empty(spark).drop("score"), labels).count() == 0
     none = toxicity.score(docs, labels.where("toxic = 0")).agg(F.max("score")).first()[0]
     assert none == 0
+
+
+def test_toxicity_follows_the_two_lengths():
+    rows = []
+    for k in range(1200):
+        parts = corpus.prose(4000 + k, 70).split()
+        for j in range(3 * (k % 2)):
+            parts[(5 + 21 * j + k) % len(parts)] = ["grobnik", "vlastor", "smirkle"][(j + k) % 3]
+        rows.append((" ".join(parts), k % 2))
+    words = [(toxicity.words(t), y) for t, y in rows]
+    plain, bad = toxicity.dictionaries([w for w, y in words[:600] if y], [w for w, y in words[:600] if not y])
+    assert plain != bad and len(plain) == len(bad) and b"grobnik" in bad and b"grobnik" not in plain
+
+    def auc(first, second):
+        s = toxicity.Scorer(first, second)
+        s.calibrate(np.array([s.differences(t) for t, _ in rows[600:900]]), np.array([y for _, y in rows[600:900]]), np.ones(300))
+        found = s.scores([t for t, _ in rows[900:]])
+        y = np.array([y for _, y in rows[900:]])
+        return (found[y == 1][:, None] > found[y == 0][None, :]).mean() + (found[y == 1][:, None] == found[y == 0][None, :]).mean() / 2
+
+    assert auc(plain, bad) > 0.95
+    assert abs(auc(plain, plain) - 0.5) < 0.1 and abs(auc(bad, bad) - 0.5) < 0.1
+    s = toxicity.Scorer(plain, bad)
+    gaps = [(s.differences(t) * np.arange(toxicity.LOW, toxicity.HIGH + 1)).sum() for t, _ in rows[900:]]
+    assert np.mean(gaps[1::2]) > np.mean(gaps[::2])
+
+
+def test_toxicity_sample_is_bounded(spark, monkeypatch):
+    rows = [(k, corpus.prose(k, 30)) for k in range(60)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(60)], "doc_id bigint, quality int, toxic int")
+    docs = corpus.documents(spark, [*rows, (0, "a much longer text than the other one " * 20), (None, "x")])
+    every, counts = toxicity.sample(docs, labels)
+    usable = [k for k in range(60) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert sorted(t for t, _ in every) == sorted(rows[k][1] for k in usable) and counts == (sum(k % 2 == 0 for k in usable), sum(k % 2 for k in usable))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    few, _ = toxicity.sample(docs, labels)
+    for y in (0, 1):
+        assert 0 < sum(len(t.encode()) for t, z in few if z == y) <= 1000
+    assert set(few) < set(every)
