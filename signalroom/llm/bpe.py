@@ -392,8 +392,7 @@ def pieces_of(batch: pa.RecordBatch, column: str, limit: int = 1_000_000) -> Ite
 
 def encode(docs: DataFrame, text: str = "text", to: str = "ids", path: str | None = None) -> DataFrame:
     """docs with the token ids of a text column as array<int>."""
-    if to in docs.columns:
-        raise ValueError(f"there is a column {to} already")
+    docs = common.without(docs, to)
     shared = shared_codec(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,8 +407,7 @@ def encode(docs: DataFrame, text: str = "text", to: str = "ids", path: str | Non
 
 def decode(docs: DataFrame, ids: str = "ids", to: str = "decoded", path: str | None = None) -> DataFrame:
     """docs with the labels of an array<int> column, joined by spaces."""
-    if to in docs.columns:
-        raise ValueError(f"there is a column {to} already")
+    docs = common.without(docs, to)
     shared = shared_labels(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -297,7 +297,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group: that of the smallest doc_id (null last), then of the least mark of its text."""
-    kept = marked(docs, 5, 80).where("kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_kept")).distinct()
-    rows = docs.withColumn("_mark", mark("text"))
-    same = rows["doc_id"].eqNullSafe(kept["_id"]) & rows["_mark"].eqNullSafe(kept["_kept"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_mark"]).drop("_mark")
+    own, id_, mark_ = (common.free(docs.columns, n) for n in ("_mark", "_id", "_kept"))
+    kept = marked(docs, 5, 80).where("kept").select(F.col("doc_id").alias(id_), F.col("mark").alias(mark_)).distinct()
+    rows = docs.withColumn(own, mark("text"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col(own).eqNullSafe(F.col(mark_))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own)

@@ -10,7 +10,8 @@ Driver memory: ``BUCKETS`` counts. Broadcast: ``MAX_TRUSTED`` document ids.
 
 Cases: null and empty texts have no words and fail the base rules; long texts are read whole; repeated
 rows count and are judged once each; null or repeated labels are ignored; an empty table gives no
-rows; only the named columns are read, so further columns cannot clash.
+rows; an input column named like the struct that is added gives way to it, and the stage gives the struct a
+name that no column has, so it returns all columns as they were.
 """
 
 from __future__ import annotations
@@ -109,8 +110,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most:
     return [round(SCALE * (math.log(g / all_good) - math.log(r / all_raw))) for g, r in zip(good, raw, strict=True)]
 
 
-def assess(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, buckets: int = BUCKETS, most: int = MAX_TRUSTED) -> DataFrame:
-    """docs with a struct ``quality``: the base counts, base_failed, llr (mean log ratio) and kept."""
+def assess(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, buckets: int = BUCKETS, most: int = MAX_TRUSTED, to: str = "quality") -> DataFrame:
+    """docs with a struct: the base counts, base_failed, llr (mean log ratio) and kept."""
+    docs = common.without(docs, to)
     ratios = common.int_array(log_ratios(docs, labels, buckets, most))
 
     def verdict(base: Column, score: Column) -> Column:
@@ -123,7 +125,7 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: int = THRESHOLD, bucke
     start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("n"))
     step = lambda a, b: F.struct((a["sum"] + F.get(ratios, b)).alias("sum"), (a["n"] + 1).alias("n"))
     score = F.aggregate(ngram_buckets(F.col("text"), buckets), start, step)
-    return docs.withColumn("quality", common.let(base_columns(F.col("text")), lambda b: common.let(score, lambda s: verdict(b, s))))
+    return docs.withColumn(to, common.let(base_columns(F.col("text")), lambda b: common.let(score, lambda s: verdict(b, s))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,4 +135,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass."""
-    return assess(docs, common.table(spark, sf_dir, "labels")).where("quality.kept").drop("quality")
+    to = common.free(docs.columns, "_quality")
+    return assess(docs, common.table(spark, sf_dir, "labels"), to=to).where(F.col(to)["kept"]).drop(to)

@@ -23,7 +23,8 @@ broadcast.
 
 Cases: null and empty texts have no words and get the score of that; long texts are read whole;
 repeated rows score alike, and of an id with several texts the shortest may be in the sample; null ids aren't; with no labelled rows of one class every score is 0; an empty table gives no
-rows; columns pass through and a clash with the two new names is refused.
+rows; columns pass through, one named like the score gives way to it, and the stage gives the score a name
+that no column has.
 """
 
 from __future__ import annotations
@@ -207,8 +208,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, int]], t
 
 def score(docs: DataFrame, labels: DataFrame, to: str = "score") -> DataFrame:
     """docs with a score of each whole text."""
-    if to in docs.columns:
-        raise ValueError(f"there is a column {to} already")
+    docs = common.without(docs, to)
     shared = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, labels)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,4 +230,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that are predicted toxic."""
-    return score(docs, common.table(spark, sf_dir, "labels"), "_score").where(F.col("_score") < THRESHOLD).drop("_score")
+    to = common.free(docs.columns, "_score")
+    return score(docs, common.table(spark, sf_dir, "labels"), to).where(F.col(to) < THRESHOLD).drop(to)
