@@ -5,12 +5,16 @@ punctuation gone, single spaces) and its SHA-256 is looked up among the digests
 Two units are looked up, each as an entire text: the document, by a hash join, and each of its lines,
 which finds one-line notices. Everything is a Spark expression.
 
-Broadcast: the table of known licences, KNOWN below, which does not depend on the input; a larger
-table given by the caller is joined without a broadcast hint beyond ``MAX_BROADCAST`` rows.
+The table of known licences is counted. Up to ``MAX_BROADCAST`` rows it is broadcast, and lines look it up
+where they stand; a larger table is joined by a shuffle, whole texts and exploded lines alike. Both ways
+give the same rows.
+
+Covered by KNOWN, as texts: MIT, ISC, 0BSD, Zlib, BSD-2-Clause, BSD-3-Clause and usual notices; by
+DIGESTS, as whole files: Apache-2.0, GPL-2.0, GPL-3.0, LGPL-2.1, LGPL-3.0, MPL-2.0, CC0-1.0.
 
 Cases: null and empty texts have the digest of the empty canonical text, which no licence has, so they
 match nothing; long texts are hashed whole; repeated rows are looked up once each; an empty table
-gives no rows; the licence columns are renamed before the join, so columns of the input cannot clash.
+gives no rows; input columns named like the four that are added give way to them, others pass through.
 """
 
 from __future__ import annotations
@@ -73,10 +77,28 @@ KNOWN = [
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."), ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."), ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
 ]
+# SHA-256 of the canonical form of whole public licence files, and of the same without what follows the end of their terms.
+DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "7673026933f81fb36faca44699be948a2153b9e719461e7d2cde299c64e0858a"),
+    ("Apache-2.0", "a2b68e8e90b0895c2903b3700afc6f39880427e48c9b3512eb4bd8ff8913ff5a"),
+    ("GPL-2.0", "2ce6548c36ed5515006dbb0a983cbb329eb73dd206ebafb74593e9a069f339f7"),
+    ("GPL-2.0", "15e6f5a4cb4144843cc2cc461105e9a3dec03b517ffe86fcb3931204bf7f33b4"),
+    ("GPL-3.0", "e5d450eee65b3b7088759b9fb7814766e5632dd585291dec480b67de137965dd"),
+    ("GPL-3.0", "687e35485959cebb78afc97d0ef9a10ec32b345e3f8cd24afd5093c5b6d41741"),
+    ("LGPL-2.1", "1baa049afce6711f85dd992372e2a92e1b0073935e3e25fd74b6c79e1fd022f9"),
+    ("LGPL-2.1", "0480f8b7dd43ba30ed34659d7bce0c3c59107f0b89b5429b55b1a573c6eca437"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-2.0", "a975c79c4e706e8418d3869e1b4193888eeabd618c0014a6e60b49d59de2ab2f"),
+    ("MPL-2.0", "b839637772c7e90d3706cc729c774502420ea09441d63e6e083477f88a8ce95a"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+]
+#: A line that is a copyright line without a year, by its capitals: applied to the text as it stands, twice, as neighbours share a line end.
+UNDATED = ("(^|\\n)[^A-Za-z0-9\\n]*[Cc]opyright( by)?( [A-Z][^ \\n]*){1,4}[ \\t\\r]*(\\n|$)", "\\1")
 #: The canonical form, as regular expressions that RE2 and Java read alike, applied in this order to
-#: lower-cased text. After the third, each word stands between two spaces of its own.
+#: lower-cased text. After the fourth, each word stands between two spaces of its own.
 RULES = [
-    ("(^|\\n)[^a-z0-9\\n]*(copyright|\\(c\\)|©)[^\\n]*[0-9]{4}[^\\n]*", "\\1"),
+    ("(^|\\n)[^a-z0-9\\n]*(copyright|\\(c\\)|©)[^\\n]*([0-9]{4}|[\\[<{](year|yyyy|full|name|owner|author|copyright))[^\\n]*", "\\1"),
+    ("(^|\\n)[^a-z0-9\\n]*copyright[ \\t]*(\\(c\\)|©)[^\\n]*", "\\1"),
     ("(^|\\n)[^a-z0-9\\n]*all rights reserved[^a-z0-9\\n]*(\\n|$)", "\\1"),
     ("[^\\p{L}\\p{N}]+", "  "),
     (" (licence|licenses|licences) ", " license "),
@@ -91,7 +113,10 @@ RULES = [
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null counts as empty."""
-    out = F.lower(F.coalesce(text, F.lit("")))
+    out = F.coalesce(text, F.lit(""))
+    for _ in range(2):
+        out = F.regexp_replace(out, UNDATED[0], "$1")
+    out = F.lower(out)
     for pattern, put in RULES:
         out = F.regexp_replace(out, pattern, put.replace("\\", "$"))
         out = F.concat(F.lit(" "), out, F.lit(" ")) if put == "  " else out
@@ -100,7 +125,10 @@ def canonical(text: Column) -> Column:
 
 def canonical_sql(text: str) -> str:
     """The same as DuckDB SQL."""
-    out = f"lower(coalesce({text}, ''))"
+    out = f"coalesce({text}, '')"
+    for _ in range(2):
+        out = f"regexp_replace({out}, '{UNDATED[0]}', '{UNDATED[1]}', 'g')"
+    out = f"lower({out})"
     for pattern, put in RULES:
         out = f"regexp_replace({out}, '{pattern}', '{put}', 'g')"
         out = f"concat(' ', {out}, ' ')" if put == "  " else out
@@ -111,25 +139,33 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """canonical_sha256 and license_id of the known texts, one row for each digest."""
-    rows = [F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("body")) for i, t in (KNOWN if known is None else known)]
+def known_licenses(spark: SparkSession, known: list[tuple[str, str]] | None = None, digests: list[tuple[str, str]] = DIGESTS) -> DataFrame:
+    """canonical_sha256 and license_id of the known texts and digests, one row for each digest."""
+    rows = [F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("body"), F.lit(None).cast("string").alias("told")) for i, t in (KNOWN if known is None else known)]
+    rows += [F.struct(F.lit(i).alias("license_id"), F.lit("").alias("body"), F.lit(d).alias("told")) for i, d in digests]
     found = spark.range(1).select(F.inline(F.array(*rows)))
-    return found.groupBy(digest(F.col("body")).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
+    return found.groupBy(F.coalesce("told", digest(F.col("body"))).alias("canonical_sha256")).agg(F.min("license_id").alias("license_id"))
+
+
+ADDED = ("canonical_sha256", "license_id", "notice_lines", "notices")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """Adds canonical_sha256, license_id (of the whole text, or null), notice_lines and notices (ids found in lines)."""
     rows = known.limit(MAX_BROADCAST + 1).collect()
-    lookup = known.toDF("known_sha256", "license_id")
-    lookup = F.broadcast(lookup) if len(rows) <= MAX_BROADCAST else lookup
+    small = len(rows) <= MAX_BROADCAST
+    docs = common.without(docs, *ADDED)
+    names = [common.free(docs.columns, n) for n in ("_known", "_id", "_lines")]
+    lookup = known.toDF(*names[:2])
     whole = docs.withColumn("canonical_sha256", digest(F.col("text")))
-    whole = whole.join(lookup, whole["canonical_sha256"] == lookup["known_sha256"], "left").drop("known_sha256")
-    return whole.withColumn("line_ids", line_matches(F.col("text"), rows)).select(
-        *[c for c in whole.columns],
-        F.size("line_ids").cast("long").alias("notice_lines"),
-        F.array_join(F.array_sort(F.array_distinct("line_ids")), ",").alias("notices"),
-    )
+    whole = whole.join(F.broadcast(lookup) if small else lookup, F.col("canonical_sha256") == F.col(names[0]), "left")
+    whole = whole.withColumn("license_id", F.col(names[1])).drop(*names[:2])
+    if small:
+        found = whole.withColumn(names[2], line_matches(F.col("text"), rows))
+    else:
+        found = joined_lines(whole, lookup, *names)
+    ids = F.col(names[2])
+    return found.withColumn("notice_lines", F.size(ids).cast("long")).withColumn("notices", F.array_join(F.array_sort(F.array_distinct(ids)), ",")).drop(names[2])
 
 
 def line_matches(text: Column, rows: list) -> Column:
@@ -140,6 +176,16 @@ def line_matches(text: Column, rows: list) -> Column:
     return F.filter(ids, lambda x: x.isNotNull())
 
 
+def joined_lines(docs: DataFrame, lookup: DataFrame, key: str, value: str, to: str) -> DataFrame:
+    """The same by a hash join: each different text's lines are looked up, and texts get back what was found."""
+    text_key = common.free([*docs.columns, key, value, to], "_text")
+    lines = docs.select(F.sha2("text", 256).alias(text_key), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "line"))
+    hits = lines.withColumn("digest", digest(F.col("line"))).join(lookup, F.col("digest") == F.col(key)).groupBy(text_key, "n").agg(F.min(value).alias(value))
+    found = hits.groupBy(text_key).agg(F.collect_list(value).alias(to)).withColumnRenamed(text_key, key)
+    out = docs.withColumn(text_key, F.sha2("text", 256)).join(found, F.col(text_key) == F.col(key), "left").drop(text_key, key)
+    return out.withColumn(to, F.coalesce(to, F.array().cast("array<string>")))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan(docs, known_licenses(spark)).drop("text")
@@ -147,9 +193,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     quoted = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
+    told = "".join(f" UNION ALL SELECT '{i}', '{d}'" for i, d in DIGESTS)
     return f"""
 WITH known AS (
-  SELECT sha256({canonical_sql("body")}) AS digest, min(license_id) AS license_id FROM (VALUES {quoted}) v(license_id, body) GROUP BY 1),
+  SELECT digest, min(license_id) AS license_id FROM (SELECT license_id, sha256({canonical_sql("body")}) AS digest FROM (VALUES {quoted}) v(license_id, body){told}) GROUP BY 1),
 whole AS (SELECT doc_id, text, sha256({canonical_sql("text")}) AS canonical_sha256, row_number() OVER () AS n FROM documents),
 lines AS (SELECT n, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM whole),
 found AS (
