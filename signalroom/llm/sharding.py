@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots.
 
-A record hashes to one of thousands of virtual slots and never changes it. Bytes are summed per
+A record hashes, by its id and text, to one of thousands of virtual slots and never changes it. Bytes are summed per
 slot, and a small versioned map says which shard holds which slot. Rebalancing or growing edits
 the map; a record moves only when its slot moves.
 
@@ -8,7 +8,8 @@ Driver memory: the map and the byte sums have ``slots`` rows, whatever the input
 
 Cases: a null text counts as no bytes (size 1, crc32 of nothing, 0); empty and long texts are
 ordinary; equal texts and repeated rows each get a place of their own, ties in the order within a
-slot fall to size and crc; a null doc_id hashes like any value; an empty table gives no rows;
+slot fall to size and crc; records of one doc_id, or of none, spread by their texts, and only rows that
+repeat both share a slot; an empty table gives no rows;
 further columns of the input are not carried, so none can clash.
 """
 
@@ -32,7 +33,7 @@ def measure(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
         "doc_id",
         (F.octet_length(data) + 1).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int").alias("virtual_slot"),
+        F.pmod(F.xxhash64("doc_id", F.crc32(data)), F.lit(slots)).cast("int").alias("virtual_slot"),
     )
 
 
@@ -117,8 +118,21 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
     spark = docs.sparkSession
     measured = common.materialize(measure(docs, slots), "shard-sizes")
     owner = plan_map(slot_bytes(measured), shards, slots)
-    path = f"{common.shared_dir(spark)}/shard-map-{common.uuid.uuid4().hex}"
-    return place(measured, store_map(spark, owner, 1, path))
+    return place(measured, store_map(spark, owner, 1, common.new_path(spark, "shard-map")))
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> tuple[list[int], int]:
+    """The shard of each slot in a version of the map below path, the last one by default, and that version."""
+    maps = spark.read.option("basePath", path).parquet(path)
+    version = maps.agg(F.max("version")).first()[0] if version is None else version
+    rows = maps.where(F.col("version") == version).select("virtual_slot", "shard").orderBy("virtual_slot").collect()
+    return [r["shard"] for r in rows], version
+
+
+def reshard(measured: DataFrame, path: str, shards: int) -> DataFrame:
+    """Edits the last version of the map below path for measured records and so many shards, stores it as the next, and places the records."""
+    owner, version = read_map(measured.sparkSession, path)
+    return place(measured, store_map(measured.sparkSession, rebalance(owner, slot_bytes(measured), shards), version + 1, path))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
