@@ -5,9 +5,10 @@ response, or to a revisit where an earlier page has the same payload. Each recor
 own; archives roll at ROLL bytes. Which pages revisit is decided on digests alone, and that table is
 joined to the pages (the planner broadcasts it only if it is below its size threshold).
 
-``read_heads`` and ``read_others`` parse archives; ``assemble`` joins request, response and metadata
-records through their concurrent-to identifiers into one nested row per capture. A revisit is resolved by
-its payload digest, as its profile says.
+``read`` parses archives once, and ``assemble`` joins request, response and metadata records through their
+concurrent-to identifiers into one nested row per capture: all records of a capture meet by the identifier
+of its response or revisit, of which a task holds one record of each kind. A revisit is resolved by its
+payload digest, as its profile says.
 
 Archives go to the shared folder. A task that is run again writes files under new names, and only the
 files in the manifest of the tasks that counted are read.
@@ -171,17 +172,19 @@ def fields_of(names: str) -> T.StructType:
     return T.StructType([T.StructField(n, KINDS[k][0]) for n, k in (x.split() for x in names.split(", "))])
 
 
-HEADS = fields_of("archive string, offset bigint, record_id string, record_type string, target_uri string, warc_date string, payload_digest string, http_head string, payload binary, intact boolean")
-OTHERS = fields_of("archive string, offset bigint, record_id string, record_type string, concurrent_to string, block binary")
+RECORDS = fields_of(
+    "archive string, offset bigint, record_id string, record_type string, concurrent_to string, target_uri string, warc_date string, payload_digest string, http_head string, payload binary, intact boolean, block binary"
+)
+HEADS = ["archive", "offset", "record_id", "record_type", "target_uri", "warc_date", "payload_digest", "http_head", "payload", "intact"]
+OTHERS = ["archive", "offset", "record_id", "record_type", "concurrent_to", "block"]
 
 
-def read(files: DataFrame, heads: bool) -> DataFrame:
-    """Responses and revisits, or all other records, of archives (archive, content)."""
-    schema = HEADS if heads else OTHERS
-    kinds = [KINDS[f.dataType.simpleString()][1] for f in schema]
+def read(files: DataFrame) -> DataFrame:
+    """The records of archives (archive, content): responses and revisits with head and payload, others with their block."""
+    kinds = [KINDS[f.dataType.simpleString()][1] for f in RECORDS]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=schema.names)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=RECORDS.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -191,16 +194,14 @@ def read(files: DataFrame, heads: bool) -> DataFrame:
                 for offset, data in members(batch.column(1)[k].as_py()):
                     fields, block = parse(data)
                     kind, record_id = fields["warc-type"], fields["warc-record-id"].strip("<>")
-                    if heads != (kind in ("response", "revisit")):
-                        continue
-                    if heads:
+                    start = (archive, offset, record_id, kind, fields.get("warc-concurrent-to", "").strip("<>"), fields.get("warc-target-uri"), fields.get("warc-date"))
+                    if kind in ("response", "revisit"):
                         http, _, payload = block.partition(b"\r\n\r\n")
                         digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
                         payload = payload if kind == "response" else None
-                        intact = payload is None or base32_sha1(payload) == digest
-                        rows.append((archive, offset, record_id, kind, fields.get("warc-target-uri"), fields.get("warc-date"), digest, http.decode(), payload, intact))
+                        rows.append((*start, digest, http.decode(), payload, payload is None or base32_sha1(payload) == digest, None))
                     else:
-                        rows.append((archive, offset, record_id, kind, fields.get("warc-concurrent-to", "").strip("<>"), block))
+                        rows.append((*start, None, None, None, None, block))
                     size += len(block)
                     if size >= BATCH:
                         yield batch_of(rows)
@@ -208,17 +209,24 @@ def read(files: DataFrame, heads: bool) -> DataFrame:
         if rows:
             yield batch_of(rows)
 
-    return files.select("archive", "content").mapInArrow(run, schema)
+    return files.select("archive", "content").mapInArrow(run, RECORDS)
 
 
-def assemble(heads: DataFrame, others: DataFrame) -> DataFrame:
-    """One row per capture: response (or revisit), request and metadata as structs."""
-    whole = lambda df: F.struct(*df.columns)
-    one = lambda kind, to: others.where(F.col("record_type") == kind).select(F.col("concurrent_to").alias("id"), whole(others).alias(to))
-    left = heads.select(F.col("record_id").alias("id"), whole(heads).alias("response"))
-    return left.join(one("request", "request"), "id", "left").join(one("metadata", "metadata"), "id", "left").drop("id")
+def assemble(records: DataFrame) -> DataFrame:
+    """One row per response or revisit, with its request and metadata, as structs; of several, the first by archive and offset."""
+    is_head = F.col("record_type").isin("response", "revisit")
+    of = lambda kind, names: F.min(F.when(kind, F.struct(*names)))
+    found = records.groupBy(F.when(is_head, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("id")).agg(
+        of(is_head, HEADS).alias("response"), of(F.col("record_type") == "request", OTHERS).alias("request"), of(F.col("record_type") == "metadata", OTHERS).alias("metadata")
+    )
+    return found.where("response is not null").drop("id")
 
 
+#: The schema of captures.
+NESTED = T.StructType([
+    T.StructField("response", T.StructType([RECORDS[n] for n in HEADS])), *[T.StructField(n, T.StructType([RECORDS[c] for c in OTHERS])) for n in ("request", "metadata")],
+    T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("payload_bytes", T.LongType()),
+])
 NOTES = "`page-id` bigint, url string, `payload-length` bigint"
 
 
@@ -226,20 +234,22 @@ def captures(manifest: DataFrame, path: str) -> DataFrame:
     """The assembled captures with what their metadata say, page_id, url, payload_bytes, and refers_to of revisits."""
     files = archives(manifest, path)
     notes = F.from_json(F.regexp_extract(F.col("metadata.block").cast("string"), r"(?s)^capture: (.*)\r\n$", 1), NOTES)
-    rows = assemble(read(files, True), read(files, False)).withColumn("notes", notes)
+    rows = assemble(read(files)).withColumn("notes", notes)
     return rows.select("response", "request", "metadata", F.col("notes.page-id").alias("page_id"), "notes.url", F.col("notes.payload-length").alias("payload_bytes"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{common.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    """The columns of the contract, intact, and the nested capture: request, response (without its payload) and metadata."""
+    path = common.new_path(spark, "warc")
     manifest = write(common.table(spark, sf_dir, "pages"), path)
-    if manifest.isEmpty():
-        return spark.createDataFrame([], "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, intact boolean")
-    found = captures(manifest, path)
-    stored = F.when(F.col("response.record_type") == "response", F.octet_length("response.payload")).otherwise(F.col("payload_bytes"))
-    rows = found.select("page_id", stored.cast("bigint").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"), F.col("response.intact").alias("intact"))
-    rows = common.materialize(rows, "captures")
-    wanted = rows.where("record_type = 'revisit'").select("payload_digest").distinct()
-    first = rows.where("record_type = 'response'").join(wanted, "payload_digest", "left_semi").groupBy("payload_digest").agg(F.min("page_id").alias("first"))
+    whole = captures(manifest, path) if not manifest.isEmpty() else spark.createDataFrame([], NESTED)
+    told = F.when(F.col("response.record_type") == "response", F.octet_length("response.payload")).otherwise(F.col("payload_bytes"))
+    found = whole.select(
+        "page_id", told.cast("bigint").alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.record_type").alias("record_type"),
+        F.col("response.intact").alias("intact"), "request", F.col("response").dropFields("payload").alias("response"), "metadata",
+    )
+    found = common.materialize(found, "captures")
+    wanted = found.where("record_type = 'revisit'").select("payload_digest").distinct()
+    first = found.where("record_type = 'response'").join(wanted, "payload_digest", "left_semi").groupBy("payload_digest").agg(F.min("page_id").alias("first"))
     refers = F.when(F.col("record_type") == "revisit", F.col("first")).alias("refers_to")
-    return rows.join(first, "payload_digest", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", refers, "intact")
+    return found.join(first, "payload_digest", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", refers, "intact", "request", "response", "metadata")
