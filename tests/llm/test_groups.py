@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from signalroom.llm import ann, minhash, registry, warc
+from signalroom.llm import ann, common, minhash, registry, warc
 from signalroom.llm.components import components
 
 from . import corpus
@@ -199,6 +199,25 @@ def test_warc_least_payload(spark, tmp_path):
     assert kinds == {"response"}
 
 
+def test_shared_folder_and_clean_up(spark, tmp_path, monkeypatch):
+    spark.range(3).write.parquet(f"{common.shared_dir(spark)}/kept-by-others")
+    common.clean_up(spark)
+    made = common.materialize(spark.range(5), "some")
+    assert made.count() == 5 and common.clean_up(spark) == 1 and common.clean_up(spark) == 0
+    assert spark.read.parquet(f"{common.shared_dir(spark)}/kept-by-others").count() == 3
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "yarn"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        common.shared_dir(Cluster)
+
+
 def test_registry_has_each_operator_once():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -77,8 +78,8 @@ def test_bpe_round_trip_and_library(spark):
         assert list(r.ids) == ids
         assert r.decoded == library.decode(ids, skip_special_tokens=False)
     assert bpe.encode(corpus.empty(spark).drop("ids")).count() == 0
-    with pytest.raises(ValueError, match="already"):
-        bpe.encode(corpus.documents(spark))
+    again = bpe.encode(corpus.documents(spark))  # a column of that name gives way
+    assert again.columns == [*docs.columns, "ids"] and again.count() == len(rows)
 
 
 def test_automaton_refuses_improper_merges():
@@ -161,6 +162,40 @@ def test_shards(spark):
     assert sharding.shard_documents(corpus.empty(spark)).count() == 0
 
 
+def test_resharding_moves_only_rows_of_moved_slots(spark, tmp_path):
+    texts = [(k, corpus.prose(k, 10 + k % 40)) for k in range(400)] + [(None, corpus.prose(900 + k, 20)) for k in range(50)] + [(7, corpus.prose(990 + k, 20)) for k in range(50)]
+    measured = sharding.measure(corpus.documents(spark, texts), 256).cache()
+    path = f"file://{tmp_path}/map"
+    sizes = sharding.slot_bytes(measured)
+    first = sharding.place(measured, sharding.store_map(spark, sharding.plan_map(sizes, 4, 256), 1, path)).collect()
+    second = sharding.reshard(measured, path, 5).collect()
+    one, two = sharding.read_map(spark, path, 1)[0], sharding.read_map(spark, path)
+    assert two[1] == 2 and {r.map_version for r in second} == {2} and {r.map_version for r in first} == {1}
+    moved = {s for s in range(256) if one[s] != two[0][s]}
+    assert moved and {two[0][s] for s in moved} == {4}
+    key = lambda r: (repr(r.doc_id), r["size"], r.text_crc32, r.virtual_slot)
+    before, after = {key(r): r.shard for r in first}, {key(r): r.shard for r in second}
+    assert {k for k in before if before[k] != after[k]} == {k for k in before if k[3] in moved}
+    for rows in (first, second):
+        load = [sum(r["size"] for r in rows if r.shard == s) for s in {r.shard for r in rows}]
+        assert max(load) - min(load) < 2500
+        for shard in {r.shard for r in rows}:
+            assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+    assert len({r.virtual_slot for r in first if r.doc_id is None}) > 20 and len({r.virtual_slot for r in first if r.doc_id == 7}) > 20
+
+
+def test_shards_are_an_independent_plan(spark):
+    rows = sharding.shard_documents(corpus.documents(spark), 3, 64).collect()
+    size: dict = {}
+    for r in rows:
+        size[r.virtual_slot] = size.get(r.virtual_slot, 0) + r["size"]
+    load, owner = [0, 0, 0], {}
+    for slot, n in sorted(size.items(), key=lambda x: (-x[1], x[0])):
+        owner[slot] = min(range(3), key=lambda k: (load[k], sum(v == k for v in owner.values()), k))
+        load[owner[slot]] += n
+    assert {r.virtual_slot: r.shard for r in rows} == owner
+
+
 def test_shard_map_balances_and_moves_little():
     sizes = {s: 1 + s * 37 % 101 for s in range(4000)}
     owner = sharding.plan_map(sizes, 16, 4000)
@@ -184,6 +219,34 @@ def test_licenses(spark):
     assert licenses.scan(corpus.empty(spark), licenses.known_licenses(spark)).count() == 0
 
 
+@pytest.mark.parametrize("most", [10_000, 2])
+def test_licenses_in_lines_and_clashing_columns(spark, monkeypatch, most):
+    monkeypatch.setattr(licenses, "MAX_BROADCAST", most)  # beyond it, lines are joined
+    rows = [
+        (1, "x\nSPDX-License-Identifier: MIT\nLicensed under CC BY 4.0.\nLicensed under CC BY 4.0."), (1, "Released under CC0 1.0."), (None, "SPDX-License-Identifier: MIT"), (2, None), (3, ""),
+        (4, "Copyright (c) [year] [fullname]\n" + licenses.MIT), (5, "Copyright Jane Doe\nCopyright Acme Inc.\n" + licenses.MIT), (6, "Copyright (c) Jane\n" + licenses.ISC), (1, "Released under CC0 1.0."),
+    ]
+    names = ["canonical_sha256", "license_id", "notices", "notice_lines", "line_ids", "_known", "_id", "_lines", "_text", "digest", "line", "n"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").select("*", *[F.lit("own").alias(n) for n in names])
+    out = licenses.scan(docs, licenses.known_licenses(spark))
+    assert sorted(out.columns) == sorted(["doc_id", "text", *names])
+    found = corpus.by_row(out.select("doc_id", "license_id", "notice_lines", "notices").collect())
+    expected = [(1, None, 3, "CC-BY-4.0,MIT"), (1, "CC0-1.0", 1, "CC0-1.0"), (1, "CC0-1.0", 1, "CC0-1.0"), (None, "MIT", 1, "MIT"), (2, None, 0, ""), (3, None, 0, ""), (4, "MIT", 0, ""), (5, "MIT", 0, ""), (6, "ISC", 0, "")]
+    assert found == corpus.by_row(expected)
+    assert {r[0] for r in out.select("digest").collect()} == {"own"}
+
+
+def test_license_digests_are_those_of_the_public_files(spark):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(k, (folder / f).read_text()) for k, f in enumerate(files) if (folder / f).exists()]
+    if not texts:
+        pytest.skip("no licence files here")
+    texts += [(100 + k, "  " + re.sub(r"\bLicense\b", "LICENCE", t.replace("\n", " \r\n"))) for k, t in texts]
+    found = {r.doc_id: r.license_id for r in licenses.scan(corpus.documents(spark, texts), licenses.known_licenses(spark)).collect()}
+    assert found == {k: list(files.values())[k % 100] for k, _ in texts}
+
+
 def test_suffixes_against_all_windows(spark):
     docs = corpus.documents(spark)
     rows = suffixes.remove_repeats(docs, keep_text=True).collect()
