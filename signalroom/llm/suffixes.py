@@ -9,23 +9,27 @@ anchor that the anchor's windows cover.
 
 1. Documents are dealt into chunks. Each chunk sends the hashes of its anchors' q-grams, and learns one
    bit for each: whether another document has it. Without that, nothing can repeat.
-2. Each chunk sorts the suffixes at its remaining anchors, equal contexts as one entry with the places
-   they occur, and sends its sorted runs front-coded: the length of the prefix shared with the entry
-   before, and the rest.
+2. Each chunk sorts the suffixes at its remaining anchors, equal contexts as one entry with the smallest
+   document that has it, and sends its sorted runs front-coded: the length of the prefix shared with the
+   entry before, and the rest. The places of its entries don't go to the ranges; they wait for step 5.
 3. Each range of anchors merges its runs with a loser tree that keeps, for each loser, how much it
    shares with the entry put out last: entries that share different lengths are decided without a look
    at their bytes, and others are compared from the shared length on.
 4. In merged order, the prefix shared with either neighbour bounds which windows of an entry can
-   repeat. Those are matched, and the smallest document of each decides.
-5. Chunks get back the removed intervals of their documents and join them.
+   repeat. Those are matched, and the smallest document of each decides. A range answers each run with two
+   bytes for each entry: which part of it a smaller document elsewhere has.
+5. Chunks apply the answers to the places of their entries, and join the removed intervals.
 
 All steps read one shuffle of the documents by chunk. Bounds: a chunk has CHUNK bytes or one document,
-which is hashed SEGMENT bytes at a time; what a range holds falls with the number of shuffle partitions.
-A string that recurs often within a chunk travels once, with 16 bytes for each place.
+which is hashed SEGMENT bytes at a time; there is a range for so many bytes of text too, so what a range
+holds doesn't grow with the table or with how often a string recurs: of each string a chunk sends one entry.
+Chunks are dealt by id and text, and rows without an id anyhow, so no id fills a chunk; only rows that repeat
+both share one.
 
 Cases: null and empty texts have no bytes, and texts of fewer than WINDOW bytes lose none; a row with a
 null doc_id loses nothing and takes nothing; rows that repeat a doc_id take nothing from each other; an
-empty table gives no rows; further columns pass through.
+empty table gives no rows; further columns pass through, but for those named like the added ones, which
+give way; the stage adds under names that no column has.
 """
 
 from __future__ import annotations
@@ -45,6 +49,9 @@ from . import common, hashing
 WINDOW, GRAM = 50, 16
 SPAN = WINDOW - GRAM + 1
 CHUNK = 4_000_000
+RANGE = 4_000_000
+#: A range's answer for entries of which nothing repeats in a smaller document elsewhere.
+NOTHING = 255
 SEGMENT = 200_000
 KEY_BITS = 48
 #: Merged entries that are matched at a time.
@@ -235,9 +242,11 @@ def send_runs(rows: pa.Table, bits: pa.Table, ranges: int) -> pa.Table:
         shared[1:] = np.where(apart.any(axis=1), apart.argmax(axis=1), WINDOW)
         tails = text[(columns >= shared[:, None]) & (columns < size[:, None])]
         lefts = data[spread(at[run] - left[run], left[run])]
-        own = spread(first[run], count[run])
-        doc = found["doc"][own]
-        out.append((r, number, press(shared.astype(np.uint8), size.astype(np.uint8), tails, left[run].astype(np.uint8), lefts, planes(count[run].astype(np.uint32)), planes(ids[doc]), planes(doc.astype(np.uint32)), planes(found["place"][own].astype(np.uint32)))))
+        out.append((r, number, press(shared.astype(np.uint8), size.astype(np.uint8), tails, left[run].astype(np.uint8), lefts, planes(ids[found["doc"][first[run]]]))))
+    # the places go round the ranges, as a group of their own, and come back with the answers
+    own = spread(first[order], count[order])
+    small = (left[order].astype(np.uint8), right[order].astype(np.uint8), planes(count[order].astype(np.uint32)), planes(found["doc"][own].astype(np.uint32)), planes(found["place"][own].astype(np.uint32)))
+    out.append((-1 - number, number, press(*small)))
     return blobs_table("range", out, "chunk")
 
 
@@ -328,32 +337,24 @@ def merge(runs: list[Iterator[tuple[bytes, int]]]) -> tuple[list[int], list[int]
 
 
 def merge_runs(rows: pa.Table) -> pa.Table:
-    """Steps 3 and 4, in a range: the removed intervals of each chunk's documents."""
-    chunks = rows.column("chunk").to_pylist()
+    """Steps 3 and 4, in a range: for each run's entries, how far the first and the last repeated window begin left of the anchor."""
+    chunks, mine = rows.column("chunk").to_pylist(), rows.column("range")[0].as_py()
+    if mine < 0:  # a chunk's places
+        return blobs_table("_chunk", [(chunks[0], mine, rows.column("blob")[0].as_py())], "range")
     runs = [unpress(b.as_py()) for b in rows.column("blob")]
     order, common_ = merge([decoded(r[0], r[1], r[2]) for r in runs])
     order, shared = np.array(order, np.int64), np.array(common_ + [0], np.int64)
     # all runs' columns in a row; where lists the entries in merged order
     sizes = np.array([len(r[0]) for r in runs], np.int64)
     starts = np.cumsum(sizes) - sizes
-    places_of_run = np.cumsum([len(r[7]) // 4 for r in runs])
     where = starts[order] + ranks_within(order)
     column = lambda k, kind: np.concatenate([np.frombuffer(r[k], kind) for r in runs])
     right, left = column(1, np.uint8).astype(np.int64), column(3, np.uint8).astype(np.int64)
     lefts = column(4, np.uint8)
-    count = np.concatenate([unplanes(r[5], np.uint32) for r in runs]).astype(np.int64)
-    ids, docs, places = (np.concatenate([unplanes(r[k], kind) for r in runs]) for k, kind in ((6, np.int64), (7, np.uint32), (8, np.uint32)))
-    first_place = np.cumsum(count) - count
+    smallest = np.concatenate([unplanes(r[5], np.int64) for r in runs])
     first_left = np.cumsum(left) - left
-    smallest = ids[first_place]  # places are in order of doc_id
     reach = np.maximum(shared[:-1], shared[1:])  # bytes shared with either neighbour
-    out_place, out_low, out_high = [], [], []
-    # places of other documents than the entry's smallest: the entry itself repeats there
-    own = np.repeat(np.arange(len(count)), count)
-    more = np.flatnonzero(ids > smallest[own])
-    out_place.append(more)
-    out_low.append(-left[own[more]])
-    out_high.append(right[own[more]])
+    far, near = np.full(len(where), NOTHING, np.uint8), np.full(len(where), NOTHING, np.uint8)
     cuts = np.flatnonzero(shared[:-1] < GRAM)
     rights = None
     for a, b in slices(cuts, len(where)):
@@ -387,23 +388,9 @@ def merge_runs(rows: pa.Table) -> pa.Table:
         firsts = np.flatnonzero(np.append(True, entry[hit[1:]] != entry[hit[:-1]]))
         lasts = np.append(firsts[1:], len(hit)) - 1
         chosen = part[entry[hit[firsts]]]
-        near, far = offset[hit[firsts]], offset[hit[lasts]]
-        all_places = spread(first_place[chosen], count[chosen])
-        again = np.repeat(np.arange(len(chosen)), count[chosen])
-        mine = ids[all_places] == smallest[chosen][again]
-        out_place.append(all_places[mine])
-        out_low.append(-far[again[mine]])
-        out_high.append(WINDOW - near[again[mine]])
-    place, low, high = (np.concatenate(x) for x in (out_place, out_low, out_high))
-    run = np.searchsorted(places_of_run, place, side="right")
-    result = []
-    for r in np.unique(run).tolist():
-        mine = np.flatnonzero(run == r)
-        at = places[place[mine]].astype(np.int64)
-        doc = docs[place[mine]]
-        by = np.lexsort((at, doc))
-        result.append((chunks[r], r, press(planes(doc[by]), planes((at + low[mine])[by].astype(np.uint32)), planes((high - low)[mine][by].astype(np.uint8)))))
-    return blobs_table("_chunk", result, "run")
+        near[chosen], far[chosen] = offset[hit[firsts]], offset[hit[lasts]]
+    parts = zip(chunks, starts.tolist(), (starts + sizes).tolist(), strict=True)
+    return blobs_table("_chunk", [(c, mine, press(far[a:b], near[a:b])) for c, a, b in parts], "range")
 
 
 def ranks_within(labels: np.ndarray) -> np.ndarray:
@@ -429,14 +416,30 @@ def all_suffixes(runs: list[list[bytes]]) -> np.ndarray:
     return np.frombuffer(b"".join(e for r in runs for e, _ in decoded(r[0], r[1], r[2])), np.uint8)
 
 
-def finish(rows: pa.Table, removed: pa.Table, keep_text: bool) -> pa.Table:
+def removed_of(chunk: Chunk, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, starts and ends of what goes, in order, from the places of a chunk's entries and the ranges' answers."""
+    blobs = {r: unpress(b.as_py()) for r, b in zip(answers.column("range").to_pylist(), answers.column("blob"), strict=True)}
+    own = [b for r, b in blobs.items() if r < 0]
+    if not own:
+        return (np.empty(0, np.int64),) * 3
+    left, right = (np.frombuffer(x, np.uint8).astype(np.int64) for x in own[0][:2])
+    count, doc, place = (unplanes(x, np.uint32).astype(np.int64) for x in own[0][2:])
+    far, near = (np.concatenate([np.frombuffer(blobs[r][k], np.uint8) for r in sorted(blobs) if r >= 0]).astype(np.int64) for k in (0, 1))
+    entry = np.repeat(np.arange(len(count)), count)
+    ids = np.array([-1 if i is None else i for i in chunk.ids], np.int64)[doc]
+    later = ids > ids[np.cumsum(count) - count][entry]  # places are in order of doc_id; in later ones the entry itself repeats
+    use = np.flatnonzero(later | (far[entry] != NOTHING))
+    entry, later, doc, place = entry[use], later[use], doc[use], place[use]
+    low = place - np.where(later, left[entry], far[entry])
+    high = place + np.where(later, right[entry], WINDOW - near[entry])
+    by = np.lexsort((low, doc))
+    return doc[by], low[by], high[by]
+
+
+def finish(rows: pa.Table, answers: pa.Table, keep_text: bool) -> pa.Table:
     """Step 5: rows with what is left of each text."""
     chunk = Chunk(rows)
-    parts = [unpress(b.as_py()) for b in removed.column("blob")]
-    kinds = (np.uint32, np.uint32, np.uint8)
-    doc, low, size = (np.concatenate([unplanes(p[k], kind) for p in parts] or [np.empty(0, kind)]).astype(np.int64) for k, kind in enumerate(kinds))
-    order = np.lexsort((low, doc))
-    doc, low, high = doc[order], low[order], (low + size)[order]
+    doc, low, high = removed_of(chunk, answers)
     bounds = np.searchsorted(doc, np.arange(len(chunk.ids) + 1))
     columns: dict[str, list] = {n: [None] * len(chunk.ids) for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
     for k, row in enumerate(chunk.order):
@@ -460,23 +463,31 @@ def finish(rows: pa.Table, removed: pa.Table, keep_text: bool) -> pa.Table:
     return rows.drop_columns(["_chunk"])
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """docs with _n_bytes, _n_removed, _n_spans, _kept_sha256, and either _kept, the bytes left, or no text."""
-    spark = docs.sparkSession
+ADDED = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def remove_repeats(docs: DataFrame, keep_text: bool = False, prefix: str = "_") -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, kept_sha256 behind the prefix, and either kept, the bytes left, or no text."""
+    docs = common.without(docs, *[prefix + n for n in (*ADDED, "kept")])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chunks = max(1, -(-total // CHUNK))
-    dealt = docs.withColumn("_chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)))
+    chunks, ranges = max(1, -(-total // CHUNK)), max(1, -(-total // RANGE))
+    named = docs.select("doc_id", "text", *[F.col(f"`{c.replace('`', '``')}`").alias(f"c{i}") for i, c in enumerate(others)])
+    key = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc_id", "text"))
+    dealt = named.withColumn("_chunk", F.pmod(F.xxhash64(key), F.lit(chunks))).repartition(chunks, "_chunk")
     blob = "range bigint, chunk bigint, blob binary"
     back = "_chunk bigint, range bigint, blob binary"
     keys = dealt.groupBy("_chunk").applyInArrow(lambda t: send_keys(t, ranges), blob)
-    bits = keys.groupBy("range").applyInArrow(judge_keys, back)
-    runs = dealt.groupBy("_chunk").cogroup(bits.groupBy("_chunk")).applyInArrow(lambda t, b: send_runs(t, b, ranges), blob)
-    removed = runs.groupBy("range").applyInArrow(merge_runs, back.replace("range", "run"))
-    schema = [f for f in docs.schema.fields if keep_text or f.name != "text"]
-    added = [T.StructField(f"_{n}", T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("_kept_sha256", T.StringType())]
+    bits = keys.repartition(ranges, "range").groupBy("range").applyInArrow(judge_keys, back)
+    runs = dealt.groupBy("_chunk").cogroup(bits.repartition(chunks, "_chunk").groupBy("_chunk")).applyInArrow(lambda t, b: send_runs(t, b, ranges), blob)
+    answers = runs.repartition(ranges, "range").groupBy("range").applyInArrow(merge_runs, back)
+    schema = [T.StructField(f.name, f.dataType) for f in named.schema.fields if keep_text or f.name != "text"]
+    added = [T.StructField(f"_{n}", T.LongType()) for n in ADDED[:3]] + [T.StructField("_kept_sha256", T.StringType())]
     added += [T.StructField("_kept", T.BinaryType())] * keep_text
-    return dealt.groupBy("_chunk").cogroup(removed.groupBy("_chunk")).applyInArrow(lambda t, r: finish(t, r, keep_text), T.StructType(schema + added))
+    done = dealt.groupBy("_chunk").cogroup(answers.repartition(chunks, "_chunk").groupBy("_chunk")).applyInArrow(lambda t, r: finish(t, r, keep_text), T.StructType(schema + added))
+    inner = {c: f"c{i}" for i, c in enumerate(others)}
+    shown = [F.col(inner.get(c, c)).alias(c) for c in docs.columns if keep_text or c != "text"]
+    return done.select(*shown, *[F.col(f.name).alias(prefix + f.name[1:]) for f in added])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,11 +498,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with what is left of their texts; characters cut in two go, and n_chars is counted anew."""
-    out = remove_repeats(docs, keep_text=True)
-    left = out.withColumn("text", F.when(F.col("text").isNotNull(), whole_characters(F.col("_kept"))))
+    prefix = "_"
+    while {(prefix + n).lower() for n in (*ADDED, "kept")} & {c.lower() for c in docs.columns}:
+        prefix += "_"
+    out = remove_repeats(docs, keep_text=True, prefix=prefix)
+    left = out.withColumn("text", F.when(F.col("text").isNotNull(), whole_characters(F.col(f"{prefix}kept"))))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.char_length("text").cast("bigint"))
-    return left.select(docs.columns)
+    return left.select([f"`{c.replace('`', '``')}`" for c in docs.columns])
 
 
 def whole_characters(data):
