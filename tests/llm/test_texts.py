@@ -270,6 +270,35 @@ def test_suffixes_against_all_windows(spark):
     assert suffixes.remove_repeats(corpus.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("chunk", "range_"), [(3_000, 2_000), (40_000, 500)])
+def test_suffixes_over_many_chunks_and_ranges(spark, monkeypatch, chunk, range_):
+    """A passage in every document, copies, null and repeated ids, and columns with the names of the added ones."""
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    monkeypatch.setattr(suffixes, "RANGE", range_)
+    shared, rows = corpus.prose(5, 15), []
+    for k in range(60):
+        rows.append((k, corpus.prose(300 + k, 12) + " " + shared + " " + corpus.prose(400 + k % 7, 14)))
+    rows += [(None, shared), (None, shared), (None, None), (3, rows[20][1]), (3, rows[20][1]), (5, "z" * 300), (61, "z" * 200), (62, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").select("*", *[F.lit("own").alias(n) for n in ("_chunk", "_kept", "_n_bytes", "c0", "blob", "_c1")])
+    out = suffixes.remove_repeats(docs, keep_text=True)
+    assert out.columns == ["doc_id", "text", "_chunk", "c0", "blob", "_c1", "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", "_kept"]
+    seen: dict = {}
+    for i, data in [(i, (t or "").encode()) for i, t in rows if i is not None]:
+        for j in range(len(data) - 49):
+            seen[data[j : j + 50]] = min(i, seen.get(data[j : j + 50], i))
+    found = out.collect()
+    assert len(found) == len(rows) and {r.c0 + r["_chunk"] for r in found} == {"ownown"}
+    for r in found:
+        data, gone = (r.text or "").encode(), set()
+        for j in range(len(data) - 49) if r.doc_id is not None else ():
+            if seen[data[j : j + 50]] < r.doc_id:
+                gone |= set(range(j, j + 50))
+        assert bytes(r._kept) == bytes(c for j, c in enumerate(data) if j not in gone), r.doc_id
+        assert r._n_removed == len(gone)
+    staged = suffixes.stage(spark, docs, "")
+    assert staged.columns == docs.columns and {r._kept for r in staged.collect()} == {"own"}
+
+
 def test_loser_tree_merges_and_counts_shared_bytes():
     rng = np.random.default_rng(5)
     runs = [sorted(bytes(rng.integers(97, 99, rng.integers(0, 9)).tolist()) for _ in range(rng.integers(1, 40))) for _ in range(7)]
