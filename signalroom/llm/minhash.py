@@ -9,10 +9,13 @@
 3. Registers are banded by ROWS. In each bucket, members meet its smallest member; each class's
    smallest such partner is confirmed on full sets. These links make the first components.
 4. Buckets whose members lie in several components are worked through exactly. Of buckets of at most
-   PAIRED members all pairs meet; classes that larger ones connect are a family, which is dealt into
-   blocks, and every two of its blocks meet within a task. Every pair that shares a band, is
-   not connected yet and isn't ruled out by the collision-corrected estimate (MARGIN standard
-   deviations below the threshold) is confirmed on full sets.
+   PAIRED members all pairs meet. In larger ones, members first meet a member drawn anew in each of at most
+   TURNS turns, one each, and what is confirmed joins components, so that copies and near copies are joined
+   by a number of pairs that grows with their number. Buckets that are still of several components are
+   finished: the classes that they connect are a family, which is dealt into blocks. A component of more than
+   a block has blocks of its own, which never meet each other; all others do, within a task. Every pair that
+   shares a band, is not connected yet and isn't ruled out by the collision-corrected estimate (MARGIN
+   standard deviations below the threshold) is confirmed on full sets.
 5. Links give components by contraction; classes carry them to documents.
 
 No group is gathered in one task, no list of pairs within a group is written, and nothing that grows
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, common, hashing
@@ -44,6 +47,8 @@ MARGIN = 4.5
 PAIRED = 12
 #: A family has a block for so many members, or bytes of their sets.
 BLOCK, BLOCK_BYTES = 512, 4_000_000
+#: How often the members of large buckets meet one drawn member before all pairs that are left meet.
+TURNS = 3
 #: For each register, the order in which it asks the others for a value.
 DONORS = np.argsort(hashing.mix(np.arange(REGISTERS**2, dtype=np.uint64) + np.uint64(7)).reshape(REGISTERS, REGISTERS), axis=1)
 FACTORS = hashing.mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
@@ -193,16 +198,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def cells(members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (rep, comp, family, registers, shingles) dealt into the blocks of their family, as the two sides of each pair of blocks."""
-    sizes = members.groupBy("family").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
-    blocks = sizes.select("family", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    """Members (rep, comp, family, registers, shingles) dealt into the blocks of their family, as the two sides of each pair of blocks that may link."""
+    need = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    sizes = members.groupBy("family", "comp").agg(F.count("*").alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    sizes = common.materialize(sizes.withColumn("own", need(F.col("n"), F.col("bytes"))), "sizes")
+    whole = F.col("own") > 1  # the components that have blocks of their own, after those that the others share
+    families = sizes.groupBy("family").agg(need(F.sum(F.when(~whole, F.col("n")).otherwise(0)), F.sum(F.when(~whole, F.col("bytes")).otherwise(0))).alias("mixed"), F.sum(F.when(whole, F.col("own")).otherwise(0)).cast("int").alias("more"))
+    before = Window.partitionBy("family").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.where(whole).select("family", "comp", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).cast("int").alias("first"))
+    dealt = members.join(families, "family").join(starts, ["family", "comp"], "left")
+    part = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    alone = F.col("own").isNotNull()
+    dealt = dealt.withColumn("block", F.when(alone, F.col("mixed") + F.col("first") + part(F.col("own"))).otherwise(part(F.greatest("mixed", F.lit(1)))))
+    dealt = dealt.withColumn("low", F.when(alone, F.col("mixed") + F.col("first")).otherwise(F.col("block") + 1)).withColumn("high", F.when(alone, F.col("low") + F.col("own")).otherwise(F.col("block")))
+    upto = lambda a, b: F.explode(F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>")))
     rest = ["family", "rep", "comp", "registers", "shingles"]
-    first = dealt.select(*rest, F.col("own").alias("p"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("q"))
-    second = dealt.select(*rest, F.explode(F.sequence(F.lit(0), F.col("own"))).alias("p"), F.col("own").alias("q"))
+    first = dealt.select(*rest, F.col("block").alias("p"), upto(F.col("high"), F.col("mixed") + F.col("more")).alias("q"))
+    second = dealt.select(*rest, upto(F.lit(0), F.col("low")).alias("p"), F.col("block").alias("q"))
     return first, second.toDF(*second.columns)
 
 
+def mixed_buckets(placed: DataFrame) -> DataFrame:
+    """Of members (rep, key, comp), those in buckets of several components, with the bucket's smallest component and size."""
+    sizes = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").drop("high")
+    return placed.join(sizes, "key")
+
+
+def drawn(large: DataFrame, turn: int) -> DataFrame:
+    """Pairs (node, parent): each member with one that a bucket of its has drawn and that lies in another component."""
+    one = F.min_by(F.struct("rep", "comp"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("one")
+    met = large.select("key", "rep", "comp").join(large.groupBy("key").agg(one), "key").where("comp <> one.comp")
+    return met.groupBy(F.col("rep").alias("node")).agg(F.min_by("one.rep", F.struct(F.xxhash64("one.rep", F.lit(turn)), "one.rep")).alias("parent"))
+
+
 def meet(x: pa.Table, y: pa.Table, percent: int) -> pa.Table:
     """Links between components of the members of two blocks: enough to connect all that are alike."""
     links = []
@@ -263,18 +291,24 @@ def marked(docs: DataFrame, k: int, percent: int) -> DataFrame:
         pairs = members.groupBy(F.col("rep").alias("node")).agg(F.min("root").alias("parent")).where("parent < node")
         found = roots(confirmed(possible(pairs, classes, percent), sets, percent))
         placed = with_component(members.select("rep", "key"), found)
-        mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").drop("high")
-        left = common.materialize(placed.join(mixed, "key"), "mixed")
+        left = common.materialize(mixed_buckets(placed), "mixed")
         small = left.where(F.col("size") <= PAIRED).select("key", "rep", "comp")
         two = small.toDF("key", "node", "node_comp").join(small.toDF("key", "parent", "parent_comp"), "key").where("node > parent and node_comp <> parent_comp")
         apart = two.select("node", "parent").distinct()
-        near = confirmed(possible(apart, classes, percent), sets, percent)
-        near = with_component(with_component(near, found, "node", "a"), found, "parent", "b").select("a", "b")
-        large = left.where(F.col("size") > PAIRED)
+        linked = lambda pairs: common.materialize(with_component(with_component(confirmed(possible(pairs, classes, percent), sets, percent), found, "node", "a"), found, "parent", "b").select("a", "b"), "near")
+        near = linked(apart)
+        all_large = left.where(F.col("size") > PAIRED).select("key", "rep", "comp", "low")
+        large = all_large
+        for turn in range(TURNS):
+            if large.count() <= BLOCK:
+                break
+            near = near.unionByName(linked(drawn(large, turn)))
+            moved = with_component(all_large.select("key", "rep", F.col("comp").alias("was")), components(near), "was", "comp")
+            large = common.materialize(mixed_buckets(moved.select("key", "rep", "comp")), "large")
         if not large.isEmpty():
             families = components(large.select(F.col("comp").alias("a"), F.col("low").alias("b")).distinct())
             own = with_component(large.select("rep", "comp").distinct(), families, "comp", "family").join(classes.select("rep", "registers"), "rep").join(sets, "rep")
-            first, second = (side.groupBy("family", "p", "q") for side in cells(common.materialize(own, "large")))
+            first, second = (side.groupBy("family", "p", "q") for side in cells(common.materialize(own, "families")))
             near = near.unionByName(first.cogroup(second).applyInArrow(lambda x, y: meet(x, y, percent), "a bigint, b bigint"))
         links = components(near)
     reps = with_component(with_component(classes.select("digest", "rep", "least"), found), links, "comp", "root").select("digest", "root", "least")
