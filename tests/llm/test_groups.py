@@ -24,9 +24,10 @@ def shingles(text, k):
     return {" ".join(w[j : j + k]) for j in range(len(w) - k + 1)} if len(w) >= k else ({" ".join(w)} if w else set())
 
 
-@pytest.mark.parametrize(("paired", "block"), [(12, 512), (2, 3)])
-def test_near_duplicates_against_all_pairs(spark, monkeypatch, paired, block):
+@pytest.mark.parametrize(("paired", "block", "turns"), [(12, 512, 3), (2, 3, 0), (2, 4, 2)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, paired, block, turns):
     monkeypatch.setattr(minhash, "PAIRED", paired)
+    monkeypatch.setattr(minhash, "TURNS", turns)
     monkeypatch.setattr(minhash, "BLOCK", block)
     rows = list(corpus.texts())
     base = corpus.prose(77, 120).split()
@@ -60,6 +61,27 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, paired, block):
     assert minhash.group(corpus.empty(spark)).count() == 0
 
 
+def test_blocks_meet_once_unless_of_one_component(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    comps = [0] * 40 + [1000] * 9 + list(range(2000, 2011))
+    members = [(k, c, 7 if k < 50 else 8, b"r", b"s") for k, c in enumerate(comps)]
+    first, second = minhash.cells(spark.createDataFrame(members, "rep bigint, comp bigint, family bigint, registers binary, shingles binary"))
+    left, right = ({(r.family, r.p, r.q): set() for r in side.collect()} for side in (first, second))
+    for side, rows in ((left, first.collect()), (right, second.collect())):
+        for r in rows:
+            side[r.family, r.p, r.q].add(r.rep)
+    met = set()
+    for cell in left.keys() & right.keys():
+        for a in left[cell]:
+            for b in right[cell]:
+                if a != b and (cell[1] != cell[2] or a < b):
+                    assert (min(a, b), max(a, b)) not in met
+                    met.add((min(a, b), max(a, b)))
+    wanted = {(a, b) for a, x, f, *_ in members for b, y, g, *_ in members if a < b and f == g and x != y}
+    assert wanted <= met and not any(comps[a] == comps[b] for a, b in met)
+    assert sum(len(v) for v in left.values()) < 150  # the large component is not copied once per block of its own
+
+
 def test_near_stage_decides_by_row(spark):
     base, other, third = (corpus.prose(k, 120) for k in (501, 502, 503))
     rows = [(None, ""), (None, base), (None, base + " tail"), (1, other), (2, other + " tail"), (2, third), (None, third + " tail"), (None, other.replace("a", "A"))]
