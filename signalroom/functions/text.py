@@ -158,3 +158,12 @@ def nfkc(text: Column) -> Column:
         return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
     return F.pandas_udf(run, "string")(text)
+
+
+def code_point_label(codepoint: Column) -> Column:
+    """``U+XXXX NAME (Category)`` of a code point, from the names that Spark has no function for; meant for few rows."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda c: f"U+{c:04X} {unicodedata.name(chr(c), 'UNKNOWN')} ({unicodedata.category(chr(c))})")
+
+    return F.pandas_udf(run, "string")(codepoint)

@@ -1,11 +1,13 @@
 """Hidden characters: which ones a text holds, and the text without them.
 
 Every character of a suspect text is a row with its neighbours; the rules are one CASE over it. Texts
-without a suspect character are set aside by a regular expression before anything is exploded. The
-statements below run on Spark; ``{chars}`` and the few names that differ come from a dialect, so that
-another SQL engine can run the same rules on its own functions as a check.
+without a suspect character are set aside by a regular expression before anything is exploded. What a text
+holds depends on it alone, so each different suspect text is worked through once, under its digest, and
+rows take what their text has: neither repeated nor null ids mix texts. One exchange by digest serves all
+windows. The statements below run on Spark; ``{chars}`` and the few names that differ come from a dialect.
 
-A null text has no characters. Input: doc_id and t.
+Input: doc_id and t. A null text has no characters; rows that repeat are answered one by one; an empty table
+gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signalroom.functions import text
 from signalroom.rules import characters as C
 from signalroom.rules.characters import within
 
@@ -31,6 +34,7 @@ class Dialect:
     join_text: str
     first_ten: str
     last: str
+    next: str
 
 
 PIECES = """
@@ -47,7 +51,8 @@ SPARK = Dialect(
     char="decode(unhex('{utf8}'), 'UTF-8')",
     join_text="array_join(transform(array_sort(collect_list(struct(pos, out_ch))), x -> x.out_ch), '')",
     first_ten="array_join(transform(slice(array_sort(collect_list(pos)), 1, 10), x -> cast(x AS string)), ',')",
-    last="last_value({x}) IGNORE NULLS OVER {rows}",
+    last="lag({x}) IGNORE NULLS OVER ({rows})",
+    next="lead({x}) IGNORE NULLS OVER ({rows})",
 )
 
 
@@ -93,9 +98,10 @@ def decisions(d: Dialect, *, strip_bidi: bool, aggressive: bool = False, strip_e
     latin = "".join(C.CONFUSABLES.values())
     rows = "PARTITION BY doc_id ORDER BY pos"
     side = lambda f, what, step: f"CASE WHEN {f}(pos) OVER ({rows}) = pos {step} THEN {f}({what}) OVER ({rows}) END"
-    # Looking ahead is looking back in reverse order: frames that end at the last row cost the square of a text's length.
+    # All windows but one run over the places of a text, so that one sort serves them; a pair's mate is its neighbour
+    # among the turns of its level, found by lead and lag over levels.
     before = f"({rows} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    after = "(PARTITION BY doc_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    levels = "PARTITION BY doc_id, level ORDER BY pos"
     # A character that isn't glue is decided without what was kept before, so 'alone' is exact for it; orthographic
     # marks and operators between visible characters are the two others that context keeps.
     return f"""
@@ -109,29 +115,29 @@ near AS (
 sums AS (SELECT *, sum(turn) OVER ({rows} ROWS UNBOUNDED PRECEDING) AS total FROM near),
 lows AS (
   SELECT *, coalesce(least(0, min(total) OVER {before}), 0) AS low_before, least(0, min(total) OVER ({rows} ROWS UNBOUNDED PRECEDING)) AS low,
-    {d.last.format(x='''CASE WHEN NOT is_tag THEN cp END''', rows=before)} AS flag_before, {d.last.format(x='''CASE WHEN NOT is_tag THEN cp END''', rows=after)} AS flag_after,
+    {d.last.format(x='''CASE WHEN NOT is_tag THEN cp END''', rows=rows)} AS flag_before, {d.next.format(x='''CASE WHEN NOT is_tag THEN cp END''', rows=rows)} AS flag_after,
     lag(is_tag) OVER ({rows}) AS tag_before
   FROM sums),
 leveled AS (
   SELECT *, CASE WHEN turn = 1 THEN total - low WHEN turn = -1 AND low = low_before THEN total - low + 1 END AS level FROM lows),
 paired AS (
-  SELECT doc_id, pos, cp, level, lead(pos) OVER (PARTITION BY doc_id, level ORDER BY pos) AS mate, lead(cp) OVER (PARTITION BY doc_id, level ORDER BY pos) AS mate_cp
-  FROM leveled WHERE level IS NOT NULL),
+  SELECT *, CASE WHEN level IS NOT NULL THEN lead(pos) OVER ({levels}) END AS mate, CASE WHEN level IS NOT NULL THEN lead(cp) OVER ({levels}) END AS mate_cp,
+    CASE WHEN level IS NOT NULL THEN lag(cp) OVER ({levels}) END AS opened_by
+  FROM leveled),
 pairs AS (SELECT doc_id, pos AS opener, mate AS closer FROM paired WHERE cp IN (8234, 8235) AND mate_cp = 8236),
-ends AS (SELECT doc_id, opener AS pos FROM pairs UNION ALL SELECT doc_id, closer FROM pairs),
 ready AS (
-  SELECT l.*, e.pos IS NOT NULL AS in_pair,
+  SELECT *, coalesce((cp IN (8234, 8235) AND mate_cp = 8236) OR (cp = 8236 AND opened_by IN (8234, 8235)), false) AS in_pair,
     coalesce((is_tag AND flag_before = {0x1F3F4} AND flag_after = {0xE007F}) OR (cp = {0xE007F} AND tag_before AND flag_before = {0x1F3F4}), false) AS in_flag,
     {script('prev_cp', 'prev_ch')} AS prev_script, {script('next_cp', 'next_ch')} AS next_script,
     coalesce({visible('prev_cp', 'prev_ch')}, false) AS prev_visible, coalesce({visible('next_cp', 'next_ch')}, false) AS next_visible
-  FROM leveled l LEFT JOIN ends e ON l.doc_id = e.doc_id AND l.pos = e.pos),
+  FROM paired),
 marked AS (
   SELECT *, {within('cp', C.GLUE)} AS is_glue,
     CASE WHEN {within('cp', C.ORTHOGRAPHIC)} AND {'false' if strip_emoji_glue else 'true'} THEN 'keep' {math_rule} ELSE {alone} END AS first_action
   FROM ready),
 based AS (
-  SELECT *, {d.last.format(x='''CASE WHEN NOT is_glue AND first_action <> 'strip' THEN CASE first_action WHEN 'space' THEN 32 ELSE cp END END''', rows=before)} AS kept_cp,
-    {d.last.format(x='''CASE WHEN NOT is_glue AND first_action <> 'strip' THEN ch END''', rows=before)} AS kept_ch
+  SELECT *, {d.last.format(x='''CASE WHEN NOT is_glue AND first_action <> 'strip' THEN CASE first_action WHEN 'space' THEN 32 ELSE cp END END''', rows=rows)} AS kept_cp,
+    {d.last.format(x='''CASE WHEN NOT is_glue AND first_action <> 'strip' THEN ch END''', rows=rows)} AS kept_ch
   FROM marked),
 decided AS (
   SELECT *, CASE {bidi_rules} {glue_rules} {math_rule}
@@ -148,9 +154,24 @@ result AS (
   FROM decided)"""
 
 
-def _run(docs: DataFrame, statement: str) -> DataFrame:
+TEXT = "_text"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, t, and the digest of t."""
+    return docs.select("doc_id", "t", F.unhex(F.sha2("t", 256)).alias(TEXT))
+
+
+def _run(docs: DataFrame, statement: str, aggressive: bool = False) -> DataFrame:
+    """The rows of a statement for each different suspect text, with its digest in the place of doc_id."""
     plain = statement.replace("{", "{{").replace("}", "}}").replace("{{docs}}", "{docs}")
-    return docs.sparkSession.sql(plain, docs=docs.select("doc_id", "t"))
+    suspects = keyed(docs).where(F.regexp_like("t", F.lit(suspect_class(aggressive)))).dropDuplicates([TEXT])
+    return docs.sparkSession.sql(plain, docs=suspects.select(F.col(TEXT).alias("doc_id"), "t")).withColumnRenamed("doc_id", TEXT)
+
+
+def _by_row(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """What was found, for each row that has the text."""
+    return keyed(docs).select("doc_id", TEXT).join(found, TEXT).drop(TEXT)
 
 
 def hits_sql(d: Dialect, **options) -> str:
@@ -160,7 +181,16 @@ SELECT doc_id, cp AS codepoint, kind, count(*) AS n, {d.first_ten} AS places FRO
 
 
 def inspect(docs: DataFrame, **options) -> DataFrame:
-    return _run(docs, hits_sql(SPARK, **options))
+    return _by_row(docs, _run(docs, hits_sql(SPARK, **options), options.get("aggressive", False)))
+
+
+def text_findings(docs: DataFrame) -> DataFrame:
+    """For each different suspect text, under its digest: findings, most frequent first, their levels, and how many characters they are."""
+    hits = _run(docs, hits_sql(SPARK)).withColumn("label", text.code_point_label(F.col("codepoint")))
+    message = F.concat(F.lit("layer-a ["), "kind", F.lit("] "), "label", F.lit(" x"), F.col("n"))
+    one = F.struct((-F.col("n")).alias("order"), "codepoint", "kind", message.alias("finding"), confidence(F.col("kind")).alias("level"))
+    found = hits.groupBy(TEXT).agg(F.array_sort(F.collect_list(one)).alias("h"), F.sum("n").alias("total"))
+    return found.select(TEXT, F.col("h.finding").alias("layer_findings"), F.col("h.level").alias("layer_levels"), "total")
 
 
 def kind_counts_sql(d: Dialect) -> str:
@@ -168,7 +198,7 @@ def kind_counts_sql(d: Dialect) -> str:
 
 
 def kind_counts(docs: DataFrame) -> DataFrame:
-    return _run(docs, kind_counts_sql(SPARK))
+    return _by_row(docs, _run(docs, kind_counts_sql(SPARK)))
 
 
 def clean_sql(d: Dialect, **options) -> str:
@@ -182,10 +212,10 @@ SELECT doc_id, {d.join_text} AS cleaned, count(CASE WHEN action = 'strip' THEN 1
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """doc_id, cleaned, removed, replaced, preserved of all documents; texts that aren't suspect stay as they are."""
-    changed = _run(docs, clean_sql(SPARK, **options)).withColumnRenamed("doc_id", "_id")
-    every = docs.select("doc_id", "t").join(changed, F.col("doc_id") == F.col("_id"), "left")
+    changed = _run(docs, clean_sql(SPARK, **options), options.get("aggressive", False)).withColumnRenamed(TEXT, "_changed")
+    every = keyed(docs).join(changed, F.col(TEXT) == F.col("_changed"), "left")
     counts = [F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("removed", "replaced", "preserved")]
-    return every.select("doc_id", F.when(F.col("_id").isNull(), F.col("t")).otherwise(F.col("cleaned")).alias("cleaned"), *counts)
+    return every.select("doc_id", F.when(F.col("_changed").isNull(), F.col("t")).otherwise(F.col("cleaned")).alias("cleaned"), *counts)
 
 
 def pairs_sql(d: Dialect, **options) -> str:
@@ -193,7 +223,7 @@ def pairs_sql(d: Dialect, **options) -> str:
 
 
 def bidi_pairs(docs: DataFrame) -> DataFrame:
-    return _run(docs, pairs_sql(SPARK))
+    return _by_row(docs, _run(docs, pairs_sql(SPARK)))
 
 
 def confidence(kind):

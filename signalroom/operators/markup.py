@@ -78,22 +78,50 @@ def pdf_findings(latin: Column) -> Column:
     return F.concat(hits, F.when(F.size(packets) > 0, F.array(F.lit("XMP packet present"))).otherwise(F.array().cast("array<string>")))
 
 
+def percent_decoded(text: Column) -> Column:
+    """The bytes of a text of ASCII letters in which %XX stands for a byte; other percent signs and plus signs stay."""
+    raw = lambda x: F.hex(F.encode(x, "UTF-8"))
+    piece = lambda x, i: F.when(i == 0, raw(x)).when(x.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.left(x, F.lit(2)), raw(F.substring(x, 3, F.length(x))))).otherwise(raw(F.concat(F.lit("%"), x)))
+    return F.unhex(F.array_join(F.transform(F.split(text, "%"), piece), ""))
+
+
+def base64_decoded(text: Column) -> Column:
+    """The bytes of Base64 text with or without its padding; null where a letter is left over."""
+    letters = F.regexp_replace(text, "[^A-Za-z0-9+/]", "")
+    return F.when(F.length(letters) % 4 != 1, F.unbase64(letters))
+
+
 def data_uris(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, place, mime and payload of every image that a text holds as a data URI; null for a corrupt one."""
-    uris = F.expr(f"`{text}`")
-    found = rows.select(key, F.posexplode(every(uris, "(?i)" + M.DATA_URI)).alias("place", "uri"))
-    body = F.regexp_replace(F.regexp_extract("uri", "(?is)^[^,]*,(.*)$", 1), "\\s+", "")
-    base64 = F.regexp_extract("uri", "(?i)" + M.DATA_URI, 2).rlike("(?i);base64")
-    payload = F.when(base64, F.try_to_binary(body, F.lit("base64"))).otherwise(F.encode(F.try_url_decode(body), "UTF-8"))
+    found = rows.select(key, F.posexplode(every(F.col(text), "(?i)" + M.DATA_URI)).alias("place", "uri"))
+    body = F.regexp_extract("uri", "(?is)^[^,]*,(.*)$", 1)
+    base64 = F.regexp_extract("uri", "(?i)" + M.DATA_URI, 2).rlike("(?i)base64")
+    payload = F.when(base64, base64_decoded(body)).otherwise(percent_decoded(body))
     return found.select(key, "place", F.lower(F.regexp_extract("uri", "(?i)" + M.DATA_URI, 1)).alias("mime"), payload.alias("payload"))
 
 
+def windows_after(text: Column, mark: str, before: int = 256, after: int = 4096) -> Column:
+    """The surroundings of every place of a mark, whatever its case; they may overlap."""
+    sizes = F.transform(F.split(F.lower(text), mark.replace(".", "\\.")), lambda x: F.length(x))
+    n = F.size(sizes) - 1
+    at = lambda i: F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x) + (i - 1) * len(mark)
+    window = lambda i: let(at(i), lambda k: F.substring(text, F.greatest(k - before, F.lit(0)) + 1, k + after - F.greatest(k - before, F.lit(0))))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), window)).otherwise(F.array().cast("array<string>"))
+
+
 def soft_binding(latin: Column) -> Column:
-    """Of bytes read as Latin-1: whether a manifest is bound remotely, with labels and addresses near such a mark."""
+    """Of bytes read as Latin-1: whether a manifest is bound remotely, with structured labels and addresses near a mark.
+
+    Each place of a mark has a window of its own. Labels count as marks only where they are structured.
+    """
     labels = F.array_sort(F.array_distinct(F.transform(every(latin, "(?i)" + M.BINDING_LABEL, 1), lambda x: F.lower(x))))
-    marks = "|".join(x.replace(".", "\\.") for x in [*M.BINDING, "c2pa.soft-binding"])
-    windows = F.when(latin.rlike("(?i)" + marks), every(latin, "(?is).{0,256}(?:" + marks + ").{0,4096}")).otherwise(F.array().cast("array<string>"))
-    urls = F.flatten(F.transform(windows, lambda w: every(w, "https?://[^\\s\"'<>\\\\)\\]]+")))
-    near = F.slice(F.array_sort(F.array_distinct(F.filter(urls, lambda u: u.rlike("(?i)manifest|credential|c2pa|contentauth|verify")))), 1, 20)
     manifest = any_of(F.lower(latin), [m.lower() for m in M.MANIFEST])
-    return let(labels, lambda a: let(near, lambda u: F.struct(manifest.alias("has_c2pa"), (manifest & (F.size(a) + F.size(u) > 0)).alias("found"), a.alias("labels"), u.alias("urls"))))
+
+    def of(told: Column) -> Column:
+        near = [windows_after(latin, m) for m in M.BINDING]
+        near += [F.when(F.array_contains(told, m), windows_after(latin, m)).otherwise(F.array().cast("array<string>")) for m in M.LABELS if m not in M.BINDING]
+        urls = F.flatten(F.transform(F.concat(*near), lambda w: every(w, "https?://[^\\s\"'<>\\\\)\\]]+")))
+        kept = F.slice(F.array_sort(F.array_distinct(F.filter(urls, lambda u: u.rlike("(?i)manifest|credential|c2pa|contentauth|verify")))), 1, 20)
+        return let(kept, lambda u: F.struct(manifest.alias("has_c2pa"), (manifest & (F.size(told) + F.size(u) > 0)).alias("found"), told.alias("labels"), u.alias("urls")))
+
+    return let(labels, of)

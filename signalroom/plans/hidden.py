@@ -18,7 +18,8 @@ DUCKDB = Dialect(
     char="",
     join_text="string_agg(out_ch, '' ORDER BY pos)",
     first_ten="array_to_string(list(pos ORDER BY pos)[1:10], ',')",
-    last="last_value({x} IGNORE NULLS) OVER {rows}",
+    last="last_value({x} IGNORE NULLS) OVER ({rows} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
+    next="first_value({x} IGNORE NULLS) OVER ({rows} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)",
 )
 
 

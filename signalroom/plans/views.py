@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from signalroom.sources import tables
+
 # What is put before the text, by doc_id modulo their number.
 MARKS = [
     "", "‮", "‪‫x‬ y‬ ‬z ", "\U0001f468‍\U0001f469‍\U0001f467 ‍a ", "❤️ a️ ", "\U0001f3f4\U000e0067\U000e0062\U000e007f \U000e0067b ",
@@ -30,7 +32,7 @@ PAGES_SQL = f"SELECT page_id, url, concat(html, {mark_sql('page_id', HTML_MARKS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.read(spark, f"{sf_dir}/{name}.parquet")
 
 
 def view(spark: SparkSession, sf_dir: str, statement: str, *names: str) -> DataFrame:

@@ -49,4 +49,5 @@ IMAGES = ["png", "jpg", "jpeg", "webp", "avif", "heic", "heif", "bmp", "gif", "t
 CONTAINERS = ["svg", "pdf", "docx", "xlsx", "pptx", "odt", "epub", "html", "htm", "md", "markdown", "mdx"]
 TEXTS = ["txt", "text", "css", "js", "py", "rs", "go", "json", "yaml", "yml", "toml", "csv"]
 BINDING = ["c2pa.remote-manifest", "remote-manifest", "remote_manifest"]
+LABELS = ["c2pa.soft-binding", "c2pa.remote-manifest"]
 BINDING_LABEL = "(?:[\"']label[\"']\\s*:\\s*[\"']|\\blabel\\s*=\\s*[\"'])(c2pa\\.(?:soft-binding|remote-manifest))[\"']"

@@ -8,12 +8,14 @@ exception. A file's bytes are read where the row is; nothing is shuffled.
 
 from __future__ import annotations
 
+import base64
 import io
 import re
 import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,7 +71,9 @@ def inflate(data: bytes) -> bytes:
 
 
 def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    at, first = 8, True
+    """The chunks of a PNG, checked: IHDR first, once and of 13 bytes, IDATs in a row, an empty IEND, and none missing."""
+    at, seen = 8, set()
+    last = b""
     while at < len(data):
         if at + 12 > len(data):
             raise Damaged("truncated chunk header")
@@ -79,11 +83,20 @@ def png_chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
             raise Damaged(f"truncated chunk {kind.decode('latin-1')}")
         if zlib.crc32(data[at + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
             raise Damaged(f"CRC mismatch in chunk {kind.decode('latin-1')}")
-        if first and kind != b"IHDR":
-            raise Damaged("the first chunk isn't IHDR")
+        if (not seen) != (kind == b"IHDR"):
+            raise Damaged("multiple IHDR chunks" if seen else "the first chunk isn't IHDR")
+        if kind == b"IHDR" and size != 13:
+            raise Damaged("IHDR payload must be 13 bytes")
+        if kind == b"IDAT" and kind in seen and last != kind:
+            raise Damaged("IDAT chunks must be consecutive")
+        if kind == b"IEND" and size:
+            raise Damaged("IEND chunk must be empty")
         yield kind, data[at + 8 : end - 4]
-        at, first = end, False
+        seen.add(kind)
+        at, last = end, kind
         if kind == b"IEND":
+            if b"IDAT" not in seen:
+                raise Damaged("missing IDAT")
             return
     raise Damaged("missing IEND")
 
@@ -502,6 +515,51 @@ def inspect_bytes(data: bytes | None) -> tuple[str, str, str | None, bool, bool,
         return "unknown", "error", str(e)[:300], False, True, []
 
 
+URI = re.compile(M.DATA_URI, re.I)
+
+
+def payload_of(params: str, payload: str) -> bytes | None:
+    """The bytes of a data URI; none where they are corrupt."""
+    if "base64" not in params.lower():
+        return unquote_to_bytes(payload)
+    text = "".join(payload.split())
+    try:
+        return base64.b64decode(text + "=" * (-len(text) % 4))
+    except ValueError:
+        return None
+
+
+def embedded(text: str, report: Report) -> None:
+    """What the images say that a text holds as data URIs."""
+    for found in URI.finditer(text):
+        mime, data = found[1].lower(), payload_of(found[2] or "", found[3])
+        if not data:
+            continue
+        kind = image_format(data)
+        inner = Report(kind)
+        if kind in IMAGES:
+            inner = inspect_image(data, kind)
+        elif "svg" in mime or data.lstrip().startswith(b"<"):
+            svg(data, inner)
+        else:
+            blob(inner, "blob", data)
+        report.manifest, report.ai = report.manifest or inner.manifest, report.ai or inner.ai or inner.manifest
+        report.findings += [f"embedded data:image/{mime}: {f}" for f in inner.findings]
+
+
+def svg(data: bytes, report: Report) -> None:
+    """Marks in an SVG, each a finding of its own, and its metadata element."""
+    found = hits(data, [m.encode() for m in M.MANIFEST])
+    named = [h for h in hits(data, [h.encode() for h in M.HINTS]) if h not in M.MANIFEST]
+    report.manifest, report.ai = bool(found), bool(found or named)
+    report.findings += ([f"marker:{m}" for m in found] + [f"ai:{h}" for h in named])[:30]
+    low = data.lower()
+    if re.search(rb"<metadata[\s>]", low):
+        report.findings.append("svg <metadata> present")
+    if re.search(rb"xmpmeta|rdf:rdf|contentcredentials", low):
+        report.findings.append("XMP/RDF-like content in SVG")
+
+
 SCHEMA = "format string, status string, error string, has_c2pa boolean, has_ai boolean, findings array<string>"
 
 
@@ -517,3 +575,41 @@ def inspect(files: DataFrame, content: str = "content", key: str = "path") -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *[pa.array([v], t) for v, t in zip(row, kinds, strict=True)]], names=[key, *names])
 
     return files.select(key, content).mapInArrow(run, f"{key} {files.schema[key].dataType.simpleString()}, {SCHEMA}")
+
+
+ROUTED = "format string, status string, error string, has_c2pa boolean, has_ai boolean, findings array<string>, text string, valid boolean"
+
+
+def inspect_routed(files: DataFrame) -> DataFrame:
+    """path, route, and the report of every file (path, route, content).
+
+    Routes: ``text``, ``html``, ``markdown`` and ``svg`` files are decoded (text, and whether it was valid UTF-8)
+    and only their embedded images are judged here; ``binary`` ones are judged whole; others aren't opened.
+    """
+    fields = [f.strip().rsplit(" ", 1) for f in ROUTED.split(", ")]
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+    def one(route: str | None, data: bytes | None) -> tuple:
+        if data is None or route == "unknown":
+            return (route or "unknown", "skipped" if data is None else "unknown", None, False, False, [], None, None)
+        if route == "binary":
+            return (*inspect_bytes(data), None, None)
+        try:
+            text, valid = data.decode(), True
+        except UnicodeDecodeError:
+            text, valid = data.decode(errors="replace"), False
+        report = Report(route)
+        if route == "svg":
+            svg(data, report)
+        if route != "text":
+            embedded(text, report)
+        return (route, "ok", None, report.manifest, report.ai, report.findings, text, valid)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # one file at a time: they may be large
+                row = one(batch.column(1)[k].as_py(), batch.column(2)[k].as_py())
+                arrays = [pa.array([v], kinds[t]) for v, (_, t) in zip(row, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), *arrays], names=["path", "route", *[n for n, _ in fields]])
+
+    return files.select("path", "route", "content").mapInArrow(run, f"path string, route string, {ROUTED}")
