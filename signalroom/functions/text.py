@@ -82,6 +82,17 @@ def phrase_counts(text: Column) -> Column:
     return let(scanned(text), lambda t: let(F.lower(t), lambda low: of(t, low)))
 
 
+def phrase_samples(text: Column, most: int = 3) -> Column:
+    """The phrases that occur, each with its first places as they are written."""
+
+    def of(t: Column, low: Column) -> Column:
+        first = lambda p: F.slice(F.regexp_extract_all(t, F.lit(P.java(p)), F.lit(0)), 1, most)
+        each = lambda p, label, need: F.struct(F.lit(label).alias("phrase"), (F.when(F.contains(low, F.lit(need)), first(p)).otherwise(F.array().cast("array<string>")) if need else first(p)).alias("samples"))
+        return F.filter(F.array(*[each(p, label, need) for (p, label, _), need in zip(P.PHRASES, P.NEEDS, strict=True)]), lambda h: F.size(h["samples"]) > 0)
+
+    return let(scanned(text), lambda t: let(F.lower(t), lambda low: of(t, low)))
+
+
 def density(counts: Column, n_words: Column) -> Column:
     """Weighted phrases in 100 words."""
     weights = F.array(*[F.lit(w) for _, _, w in P.PHRASES])

@@ -48,6 +48,13 @@ def phrase_hits(spark, sf_dir):
     return docs.where("h.n > 0").select("doc_id", "h.phrase", F.col("h.n").cast("bigint").alias("n"))
 
 
+def phrase_samples(spark, sf_dir):
+    """The first three places of each phrase that a text has, as they are written."""
+    docs = views.prose(spark, sf_dir).select("doc_id", F.explode(X.phrase_samples(F.col("t"))).alias("h"))
+    bare = F.transform("h.samples", lambda x: F.regexp_replace(x, "^\\W+|\\W+$", ""))
+    return docs.select("doc_id", "h.phrase", F.array_join(bare, "|").alias("samples"))
+
+
 def by_lang(spark, sf_dir):
     return scored(spark, sf_dir).groupBy("lang", "tier").agg(F.count("*").alias("docs"), F.round(F.avg("score"), 4).alias("mean_score"))
 
@@ -108,7 +115,7 @@ def pareto(spark, sf_dir):
     return best.select("p_size", "p_retailprice")
 
 
-PROSE = "WITH docs AS (" + views.PROSE_SQL.format(documents="documents") + "), cut AS (SELECT doc_id, lang, left(t, 2000000) AS t FROM docs)"
+PROSE = "WITH docs AS (" + views.PROSE_SQL.format(documents="documents") + "), cut AS (SELECT doc_id, lang, t FROM docs)"
 SENTENCES = f"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '{P.LINE_ENDS}', chr(10), 'g'),
   '{P.FENCED}', chr(10), 'g'), '{WHITE}*\\n{WHITE}*', chr(10), 'g'), '([.!?]){WHITE}+|\\n+', '\\1' || chr(30), 'g'), chr(30)), lambda s: regexp_replace(s, '^{WHITE}+|{WHITE}+$', '', 'g')), lambda s: s <> '')"""
 COUNTS = "[" + ", ".join("len(regexp_extract_all(t, '{}'))".format(P.re2(p).replace("'", "''")) for p, _, _ in P.PHRASES) + "]"
@@ -133,12 +140,14 @@ COMMON_SQL = ", ".join(f"'{w}'" for w in P.COMMON)
 BIGRAMS = "CASE WHEN len({0}) < 2 THEN [] ELSE list_distinct(list_transform(range(1, len({0})), lambda i: array_to_string({0}[i:i + 1], ' '))) END"
 
 QUERIES = {
-    "words": words_query, "sentence_lengths": sentence_lengths, "burstiness": lambda s, d: scored(s, d).select("doc_id", "cv", "sentences"),
+    "phrase_samples": phrase_samples, "words": words_query, "sentence_lengths": sentence_lengths, "burstiness": lambda s, d: scored(s, d).select("doc_id", "cv", "sentences"),
     "mattr": lambda s, d: scored(s, d).select("doc_id", "ttr"), "phrase_hits": phrase_hits, "phrase_density": lambda s, d: scored(s, d).select("doc_id", "dens"),
     "stylometry_score": scored, "stylometry_by_lang": by_lang, "ngram_diversity": ngram_diversity, "heuristic_pll": likely_tokens,
     "bigram_divergence_turns": turns, "shingle_jaccard_pairs": shingle_jaccard, "lexical_diversity_next": lexical_diversity, "cosine_next": cosine_next, "pareto_front": pareto,
 }
+FIRST = "[" + ", ".join("regexp_extract_all(t, '{}')[1:3]".format(P.re2(p).replace("'", "''")) for p, _, _ in P.PHRASES) + "]"
 ORACLES = {
+    "phrase_samples": PROSE + f" SELECT doc_id, phrase, array_to_string(list_transform(f, lambda x: regexp_replace(x, '^\\W+|\\W+$', '', 'g')), '|') AS samples FROM (SELECT doc_id, unnest({FIRST}) AS f, unnest([{', '.join(chr(39) + x.replace(chr(39), chr(39) * 2) + chr(39) for _, x, _ in P.PHRASES)}]) AS phrase FROM cut) WHERE len(f) > 0",
     "words": PROSE + f" SELECT doc_id, len(w) AS words, len(list_distinct(w)) AS distinct_words FROM (SELECT doc_id, regexp_extract_all(lower(t), '{W}') AS w FROM cut)",
     "sentence_lengths": PROSE + f" SELECT doc_id, place - 1 AS place, len(regexp_extract_all(x, '{W}')) AS words FROM (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS place FROM (SELECT doc_id, {SENTENCES} AS s FROM cut))",
     "burstiness": SCORED + " SELECT doc_id, cv, sentences FROM scored",

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from functools import reduce
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,3 +122,63 @@ def sitemap_locations(xml: Column) -> Column:
     """The addresses of a sitemap; documents with a type definition or entities give none."""
     safe = ~xml.rlike("(?i)<!DOCTYPE|<!ENTITY")
     return F.when(safe, F.transform(F.regexp_extract_all(xml, F.lit("(?is)<(?:[\\w.-]+:)?loc(?:\\s[^>]*)?>\\s*(.*?)\\s*</(?:[\\w.-]+:)?loc>"), F.lit(1)), lambda x: F.replace(x, F.lit("&amp;"), F.lit("&")))).otherwise(F.array().cast("array<string>"))
+
+
+MOST_SITEMAP = 50 * 1024 * 1024
+
+
+def sitemaps(rows: DataFrame, most: int = MOST_SITEMAP) -> DataFrame:
+    """url, kind, locations and error of sitemaps (url, content), which may be compressed by gzip; those over the limit aren't parsed."""
+
+    def one(data: bytes | None) -> tuple:
+        try:
+            text = data or b""
+            if text[:2] == b"\x1f\x8b":
+                unpack = zlib.decompressobj(31)
+                text = unpack.decompress(text, most + 1)
+            if len(text) > most:
+                return None, [], f"sitemap is over {most} bytes"
+            if b"<!DOCTYPE" in text or b"<!ENTITY" in text:
+                return None, [], "sitemap declares a document type or entities"
+            root = ElementTree.fromstring(text)
+        except (ElementTree.ParseError, zlib.error) as e:
+            return None, [], f"not a sitemap: {e}"
+        name = lambda e: e.tag.rsplit("}", 1)[-1].lower()
+        return name(root), [e.text.strip() for e in root.iter() if name(e) == "loc" and e.text], None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [one(batch.column(1)[k].as_py()) for k in range(batch.num_rows)]
+            kinds = (pa.string(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[i] for f in found], k) for i, k in enumerate(kinds)]], names=["url", "kind", "locations", "error"])
+
+    return rows.select("url", "content").mapInArrow(run, "url string, kind string, locations array<string>, error string")
+
+
+def walk_sitemaps(maps: DataFrame, root: str, max_pages: int, depth: int = 3) -> DataFrame:
+    """page, depth and error of what a root sitemap leads to through indexes, in their order, at most max_pages pages.
+
+    maps: url, kind and locations. A location of another origin is an error row and isn't followed. Each level
+    is one join; the number of levels is bounded by depth.
+    """
+    spark = maps.sparkSession
+    places = lambda df: df.select(F.concat("order", F.array("at")).alias("order"), F.col("loc").alias("url"), "kind")
+    level = spark.createDataFrame([([], root)], "order array<int>, url string")
+    parts, base = [], F.lit(root)
+    for step in range(depth + 1):
+        opened = level.join(maps.select("url", "kind", "locations"), "url").select("order", "kind", F.posexplode("locations").alias("at", "loc"))
+        found = places(opened)
+        parts.append(found.where("kind <> 'sitemapindex'").select("order", F.col("url").alias("page"), F.lit(step).alias("depth"), (~same_origin(F.col("url"), base)).alias("foreign")))
+        inner = found.where("kind = 'sitemapindex'")
+        parts.append(inner.where(~same_origin(F.col("url"), base)).select("order", F.col("url").alias("page"), F.lit(step).alias("depth"), F.lit(True).alias("foreign")))
+        level = inner.where(same_origin(F.col("url"), base)).groupBy("url").agg(F.min("order").alias("order"))
+    every = reduce(DataFrame.unionByName, parts).groupBy("page").agg(F.min_by(F.struct("depth", "foreign"), "order").alias("s"), F.min("order").alias("order"))
+    good = every.where("not s.foreign").orderBy("order").limit(max_pages).select("page", "s.depth", F.lit(None).cast("string").alias("error"))
+    bad = every.where("s.foreign").select("page", "s.depth", F.lit("cross-origin sitemap URL is not allowed").alias("error"))
+    return good.unionByName(bad)
+
+
+def decoded(content: Column, allow_binary: Column) -> Column:
+    """Of bytes meant as text: the text, whether it was valid UTF-8, and why it is refused, if it is."""
+    reason = F.when(~allow_binary, binary_reason(content))
+    return F.struct(F.when(reason.isNull(), F.make_valid_utf8(content)).alias("text"), F.is_valid_utf8(content).alias("valid"), reason.alias("refused"))
