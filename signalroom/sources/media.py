@@ -593,7 +593,8 @@ def inspect_routed(files: DataFrame) -> DataFrame:
         if data is None or route == "unknown":
             return (route or "unknown", "skipped" if data is None else "unknown", None, False, False, [], None, None)
         if route == "binary":
-            return (*inspect_bytes(data), None, None)
+            kind, status, *rest = inspect_bytes(data)
+            return (kind, "unknown" if status == "skipped" else status, *rest, None, None)
         try:
             text, valid = data.decode(), True
         except UnicodeDecodeError:
