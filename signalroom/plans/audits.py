@@ -42,6 +42,11 @@ def reports(spark, sf_dir):
     return found.select("path", "kind", "has_c2pa", "has_ai", "suspicious_total", F.array_join("findings", "; ").alias("findings"), F.array_join("levels", ",").alias("levels"), "skipped")
 
 
+def magic(spark, sf_dir):
+    """Raster formats by first bytes."""
+    return samples.landed(spark, sf_dir).select("path", files.image_format(F.col("content")).alias("format"))
+
+
 def of_kind(kind):
     return lambda spark, sf_dir: reports(spark, sf_dir).where(F.col("kind") == kind).drop("kind", "skipped")
 
@@ -182,13 +187,14 @@ SELECTED = "CASE doc_id % 3 WHEN 0 THEN 'in/./a/' WHEN 1 THEN 'in/a/b/../' ELSE
 RELATIVE = "CASE doc_id % 4 WHEN 1 THEN 'out/x/' || (doc_id - doc_id % 8) WHEN 3 THEN 'out/y' || doc_id END"
 
 QUERIES = {
-    "file_reports": reports, **{f"inspect_{k}": of_kind(k) for k in KINDS},
+    "magic_classify": magic, "file_reports": reports, **{f"inspect_{k}": of_kind(k) for k in KINDS},
     "file_audit_summary": lambda s, d: findings.summary(items(s, d)), "file_audit_exit_code": lambda s, d: audit.exit_code(items(s, d)).select(F.col("exit_code").cast("bigint").alias("exit_code")),
     "file_sarif": sarif, "file_lines": lines, "file_json": json_items, "file_suspicious": lambda s, d: audit.suspicious(items(s, d)), "file_notes": lambda s, d: items(s, d).select("path", F.array_join("notes", ";").alias("notes"), "error"),
     "file_risk": kind_of_risk, "soft_binding_windows": bindings, "data_uri_bytes": payloads, "input_selection": selected, "output_paths": outputs, "sidecar_join": sidecars, "setting_precedence": settings,
     "non_dominated_rank": fronts, "sitemap_walk": walk, "text_decoded": decoded, "code_point_labels": labels, "layer_a_hit_order": ordered_hits,
 }
 ORACLES = {
+    "magic_classify": ITEMS + " SELECT path, CASE WHEN kind IN ('png', 'jpeg', 'webp', 'bmp', 'gif', 'tiff', 'heif', 'avif') THEN kind ELSE 'unknown' END AS format FROM items",
     "file_reports": ITEMS + " SELECT path, kind, has_c2pa, has_ai, CAST(suspicious_total AS BIGINT) AS suspicious_total, findings, levels, kind = 'error' AS skipped FROM items",
     **{f"inspect_{k}": ITEMS + f" SELECT path, has_c2pa, has_ai, CAST(suspicious_total AS BIGINT) AS suspicious_total, findings, levels FROM items WHERE kind = '{k}'" for k in KINDS},
     "file_audit_summary": EACH + " SELECT count(*) AS total, count_if(has_c2pa) AS with_c2pa, count_if(has_ai) AS with_ai, count_if(suspicious_total > 0) AS with_suspicious_text, count_if(has_c2pa OR contains(levels, 'confirmed') OR contains(levels, 'probable')) AS actionable, "

@@ -182,7 +182,7 @@ ORACLES = {
     "soft_binding": "SELECT doc_id, doc_id % 4 = 0 OR regexp_matches(text, '(?i)" + "|".join(m.replace(".", "\\.") for m in M.MANIFEST) + "') AS has_c2pa, doc_id % 4 = 0 AS found, CASE WHEN doc_id % 4 = 0 THEN 'c2pa.soft-binding' ELSE '' END AS labels, CASE WHEN doc_id % 4 = 0 THEN 'https://contentcredentials.example/manifest/' || doc_id ELSE '' END AS urls FROM documents",
     "url_kind": "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'png' " + " ".join(f"WHEN ends_with({PATH}, '.{x}') THEN '{k}'" for x, k in files.SUFFIXES) + " WHEN starts_with(lower(html), '%pdf') THEN 'pdf' WHEN starts_with(ltrim(left(html, 100)), '<') AND contains(lower(left(html, 500)), 'svg') THEN 'svg' WHEN contains(lower(left(html, 2000)), '<html') OR starts_with(ltrim(left(html, 100)), '<') THEN 'html' ELSE 'text' END AS kind FROM pages",
     "same_origin": f"WITH o AS (SELECT page_id, {ORIGIN.format('url')} AS origin, regexp_extract(url, '^[a-z]+') AS scheme FROM pages) SELECT page_id, origin, origin = scheme || '://www.thering.example.org:' || CASE WHEN scheme = 'https' THEN '443' ELSE '80' END OR (scheme = 'http' AND origin = 'https://www.thering.example.org:443') AS allowed FROM o",
-    "binary_guard": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a PNG image' WHEN 1 THEN 'binary data (contains NUL bytes)' WHEN 2 THEN 'a ZIP container (DOCX, ODT, XLSX, PPTX, EPUB, JAR)' WHEN 3 THEN CASE WHEN starts_with(text, 'BM') THEN 'a BMP image' WHEN starts_with(text, 'MM') THEN NULL END END AS reason, CASE WHEN doc_id % 6 <= 1 THEN 'container' WHEN doc_id % 5 = 0 THEN 'image' WHEN doc_id % 5 = 2 OR contains(left(text, 1020), '# ') THEN 'container' ELSE 'unknown' END AS kind, CASE WHEN doc_id % 5 = 0 THEN 'png' ELSE 'unknown' END AS format FROM documents",
+    "binary_guard": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'a PNG image' WHEN 1 THEN 'binary data (contains NUL bytes)' WHEN 2 THEN 'a ZIP container (DOCX, ODT, XLSX, PPTX, EPUB, JAR)' WHEN 3 THEN CASE WHEN starts_with(text, 'BM') THEN 'a BMP image' WHEN starts_with(text, 'MM') THEN NULL END END AS reason, CASE WHEN doc_id % 6 <= 1 THEN 'container' WHEN doc_id % 5 = 0 THEN 'image' WHEN doc_id % 5 = 2 OR contains(left(text, 4092), '# ') THEN 'container' ELSE 'unknown' END AS kind, CASE WHEN doc_id % 5 = 0 THEN 'png' ELSE 'unknown' END AS format FROM documents",
     "risk_score": hidden.HITS + ", k AS (SELECT doc_id, count(DISTINCT kind) AS n FROM hits GROUP BY doc_id), r AS (SELECT d.doc_id, 5 + least(60, 20 * coalesce(n, 0)) AS score FROM docs d LEFT JOIN k ON k.doc_id = d.doc_id) SELECT doc_id, CAST(score AS BIGINT) AS score, CASE WHEN score < 30 THEN 'low' WHEN score < 60 THEN 'medium' ELSE 'high' END AS verdict FROM r",
     "detector_decision": "WITH e AS (SELECT event_id, event_id % 4 = 0 AS seen, CASE WHEN event_id % 11 <> 0 THEN (event_id % 100) / 100.0 END AS score, CASE WHEN event_id % 13 <> 0 THEN 0.52 END AS threshold, event_id % 3 > 0 AS known, CASE WHEN event_id % 7 <> 0 THEN event_id % 500 END AS tokens FROM events) SELECT event_id, CASE WHEN seen THEN 'DETECTED' WHEN score IS NULL OR threshold IS NULL THEN 'ERROR' WHEN abs(score - threshold) / threshold < 0.1 OR NOT known OR tokens IS NULL OR tokens < 200 THEN 'INCONCLUSIVE' ELSE 'NOT_DETECTED' END AS verdict FROM e",
     "detector_status": "WITH e AS (SELECT user_id, event_id AS k FROM events), r AS (SELECT user_id, k % 5 AS s, CASE WHEN k % 3 = 0 AND k % 2 = 0 THEN 2 WHEN k % 3 = 0 THEN 0 WHEN k % 17 = 0 OR (k % 29 = 0 AND k % 4 NOT IN (1, 2)) THEN 3 WHEN k % 4 = 1 OR (k % 17 <> 0 AND k % 5 = 0 AND k % 4 <> 2) THEN 1 ELSE 2 END AS rank FROM e) SELECT user_id, (['NOT_RUN', 'NOT_DETECTED', 'INCONCLUSIVE', 'DETECTED'])[max(rank) + 1] AS status, (['VERIFIED', 'BEST_EFFORT', 'RESIDUAL_RISK', 'UNSUPPORTED', 'FAILED'])[max(s) + 1] AS worst FROM r GROUP BY user_id",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signalroom.functions import text as X
@@ -108,6 +109,33 @@ def cosine_next(spark, sf_dir):
     return pairs.select("vec_id", F.round(F.when(norms > 0, dot(F.col("a"), F.col("b")) / norms).otherwise(0.0), 6).alias("cosine"))
 
 
+#: Queries that a row meets at a time.
+BLOCK = 1000
+
+
+def cosine_topk(spark, sf_dir, k: int = 5):
+    """The k vectors nearest by cosine to each vector whose id is divisible by 100: all rows against blocks of these queries."""
+    rows = views.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    rows = rows.withColumn("n", F.sqrt(dot(F.col("a"), F.col("a")))).where("n > 0")
+    asked = rows.where("vec_id % 100 = 0")
+    blocks = max(1, -(-asked.count() // BLOCK))
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("a").alias("b"), F.col("n").alias("m"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
+    met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block").where("query_id <> vec_id")
+    found = met.select("query_id", "vec_id", F.round(dot(F.col("a"), F.col("b")) / (F.col("n") * F.col("m")), 6).alias("cosine"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return found.withColumn("place", F.row_number().over(best).cast("bigint")).where(F.col("place") <= k)
+
+
+def lexical_diversity_benchmark(spark, sf_dir):
+    """Share of a document's runs of three words that its benchmark item, by number in turn, doesn't have."""
+    items = views.table(spark, sf_dir, "benchmark").select("item_id", X.ngrams(ascii_words(F.col("text")), 3).alias("h"))
+    turn = views.table(spark, sf_dir, "benchmark").agg((F.max("item_id") + 1).alias("n")).first()["n"]
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % F.lit(turn)).alias("item_id"), X.ngrams(ascii_words(F.col("text")), 3).alias("g"))
+    shared = F.size(F.array_intersect("g", "h"))
+    return docs.join(items, "item_id").select("doc_id", "item_id", F.round(F.when(F.size("g") == 0, 0.0).otherwise(1 - shared / F.size("g")), 6).alias("diversity"))
+
+
 def pareto(spark, sf_dir):
     """Parts that no other part beats in both size and price: the best price so far, from the largest size down."""
     rows = views.table(spark, sf_dir, "part").groupBy("p_size").agg(F.max("p_retailprice").alias("p_retailprice"))
@@ -143,7 +171,7 @@ QUERIES = {
     "phrase_samples": phrase_samples, "words": words_query, "sentence_lengths": sentence_lengths, "burstiness": lambda s, d: scored(s, d).select("doc_id", "cv", "sentences"),
     "mattr": lambda s, d: scored(s, d).select("doc_id", "ttr"), "phrase_hits": phrase_hits, "phrase_density": lambda s, d: scored(s, d).select("doc_id", "dens"),
     "stylometry_score": scored, "stylometry_by_lang": by_lang, "ngram_diversity": ngram_diversity, "heuristic_pll": likely_tokens,
-    "bigram_divergence_turns": turns, "shingle_jaccard_pairs": shingle_jaccard, "lexical_diversity_next": lexical_diversity, "cosine_next": cosine_next, "pareto_front": pareto,
+    "bigram_divergence_turns": turns, "shingle_jaccard_pairs": shingle_jaccard, "lexical_diversity_next": lexical_diversity, "cosine_next": cosine_next, "cosine_topk": cosine_topk, "lexical_diversity_benchmark": lexical_diversity_benchmark, "pareto_front": pareto,
 }
 FIRST = "[" + ", ".join("regexp_extract_all(t, '{}')[1:3]".format(P.re2(p).replace("'", "''")) for p, _, _ in P.PHRASES) + "]"
 ORACLES = {
@@ -162,5 +190,7 @@ ORACLES = {
     "shingle_jaccard_pairs": SETS + " SELECT a.id AS doc_id, round(CASE WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0 ELSE len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) END, 6) AS similarity FROM g a JOIN g b ON b.id = a.id + 1",
     "lexical_diversity_next": SETS + " SELECT a.id AS doc_id, round(CASE WHEN len(a.g) = 0 THEN 0 ELSE 1 - len(list_intersect(a.g, b.g)) / len(a.g) END, 6) AS diversity FROM g a JOIN g b ON b.id = a.id + 1",
     "cosine_next": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id, round(CASE WHEN list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v) > 0 THEN list_cosine_similarity(a.v, b.v) ELSE 0 END, 6) AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1",
+    "cosine_topk": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS cosine FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0 AND list_dot_product(q.v, q.v) * list_dot_product(e.v, e.v) > 0) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS place FROM p) WHERE place <= 5",
+    "lexical_diversity_benchmark": SETS + ", b AS (SELECT item_id, g AS h FROM (SELECT id AS item_id, CASE WHEN len(w) < 3 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS g FROM (" + GRAMS.format(id="item_id", text="text", table="benchmark") + "))), n AS (SELECT max(item_id) + 1 AS n FROM benchmark) SELECT g.id AS doc_id, item_id, round(CASE WHEN len(g.g) = 0 THEN 0 ELSE 1 - len(list_intersect(g.g, h)) / len(g.g) END, 6) AS diversity FROM g, n JOIN b ON item_id = g.id % n.n",
     "pareto_front": "WITH r AS (SELECT p_size, max(p_retailprice) AS p_retailprice FROM part GROUP BY 1) SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.p_size > a.p_size AND b.p_retailprice >= a.p_retailprice)",
 }

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from signalroom.rules import markers as M
 
 MOST_BYTES = 256 * 1024 * 1024
+#: Bytes that are looked at to tell a file's kind.
+HEAD = 4096
 # Directories that an audit passes over, besides those that begin with a dot.
 SKIPPED = ["node_modules", "__pycache__", "venv", "dist", "build", "target"]
 
@@ -68,7 +70,7 @@ def image_format(content: Column) -> Column:
 def asset_kind(path: Column, content: Column, forced: Column | None = None) -> Column:
     """text, image, container or unknown: as forced, by extension, or by the first bytes."""
     ext = extension(path)
-    head = F.decode(F.substring(content, 1, 1024), "ISO-8859-1")
+    head = F.decode(F.substring(content, 1, HEAD), "ISO-8859-1")
     low = F.lower(F.ltrim(head))
     markup = (low.startswith("<") & (F.contains(low, F.lit("svg")) | F.contains(low, F.lit("<html")))) | F.ltrim(head).startswith("<!doctype")
     prose = head.startswith("---") | F.contains(head, F.lit("\n---\n")) | F.contains(head, F.lit("# "))
