@@ -9,8 +9,8 @@
 3. Registers are banded by ROWS. In each bucket, members meet its smallest member; each class's
    smallest such partner is confirmed on full sets. These links make the first components.
 4. Buckets whose members lie in several components are worked through exactly. Of buckets of at most
-   PAIRED members all pairs meet. In larger ones, members first meet a member drawn anew in each of at most
-   TURNS turns, one each, and what is confirmed joins components, so that copies and near copies are joined
+   PAIRED members all pairs meet. In larger ones, of more than FEW blocks' members together, members first meet a
+   member drawn anew in each of at most TURNS turns, one each, and what is confirmed joins components, so that copies and near copies are joined
    by a number of pairs that grows with their number. Buckets that are still of several components are
    finished: the classes that they connect are a family, which is dealt into blocks. A component of more than
    a block has blocks of its own, which never meet each other; all others do, within a task. Every pair that
@@ -49,6 +49,8 @@ PAIRED = 12
 BLOCK, BLOCK_BYTES = 512, 4_000_000
 #: How often the members of large buckets meet one drawn member before all pairs that are left meet.
 TURNS = 3
+#: Of at most so many blocks' members, all pairs of blocks meet at once.
+FEW = 32
 #: For each register, the order in which it asks the others for a value.
 DONORS = np.argsort(hashing.mix(np.arange(REGISTERS**2, dtype=np.uint64) + np.uint64(7)).reshape(REGISTERS, REGISTERS), axis=1)
 FACTORS = hashing.mix(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
@@ -300,7 +302,7 @@ def marked(docs: DataFrame, k: int, percent: int) -> DataFrame:
         all_large = left.where(F.col("size") > PAIRED).select("key", "rep", "comp", "low")
         large = all_large
         for turn in range(TURNS):
-            if large.count() <= BLOCK:
+            if large.select("rep").distinct().count() <= FEW * BLOCK:  # all pairs of blocks are cheaper than a turn
                 break
             near = near.unionByName(linked(drawn(large, turn)))
             moved = with_component(all_large.select("key", "rep", F.col("comp").alias("was")), components(near), "was", "comp")
