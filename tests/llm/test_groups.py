@@ -28,6 +28,7 @@ def shingles(text, k):
 def test_near_duplicates_against_all_pairs(spark, monkeypatch, paired, block, turns):
     monkeypatch.setattr(minhash, "PAIRED", paired)
     monkeypatch.setattr(minhash, "TURNS", turns)
+    monkeypatch.setattr(minhash, "FEW", 1)
     monkeypatch.setattr(minhash, "BLOCK", block)
     rows = list(corpus.texts())
     base = corpus.prose(77, 120).split()
