@@ -85,6 +85,14 @@ def exit_code(found: DataFrame) -> DataFrame:
     return findings.exit_code(found, F.col("skipped"))
 
 
+def rolled_up(found: DataFrame) -> DataFrame:
+    """What a plain inspection of files ends with: how many, how many suspicious or not scanned, and 3, 1 or 0 as its code."""
+    unscanned = F.col("skipped") | (F.col("kind") == "unknown")
+    bad = (F.col("suspicious_total") > 0) | F.col("has_c2pa") | F.col("has_ai")
+    code = F.when(unscanned, 3).when(bad, 1).otherwise(0)
+    return found.agg(F.count("*").alias("total"), F.count_if(bad).alias("suspicious"), F.count_if(unscanned).alias("unscanned"), F.coalesce(F.max(code), F.lit(0)).cast("bigint").alias("exit_code"))
+
+
 def suspicious(found: DataFrame) -> DataFrame:
     """path, and whether a service would call the file suspicious: hidden characters, a manifest, metadata or style."""
     return found.select("path", ((F.col("suspicious_total") > 0) | F.col("has_c2pa") | F.col("has_ai")).alias("suspicious"))

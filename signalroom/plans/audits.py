@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from signalroom.functions import text as X
-from signalroom.operators import audit, findings, layer_a, markup, selection
+from signalroom.operators import audit, detectors, findings, layer_a, markup, selection
 from signalroom.sources import files
 
 from . import hidden, samples, views
@@ -104,6 +104,26 @@ def payloads(spark, sf_dir):
     return found.select("page_id", "mime", F.hex("payload").alias("payload"))
 
 
+def detector_reports(spark, sf_dir):
+    """Reports of each document by each detector, with settings in turn by doc_id."""
+    key = lambda k, name: F.when(F.col("doc_id") % k == 0, F.map_from_arrays(F.array(F.lit(name)), F.array(F.lit(" x ")))).otherwise(F.create_map().cast("map<string,string>"))
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
+    return detectors.reports(docs, F.map_concat(key(2, "gemini_key"), key(3, "markllm_dir")))
+
+
+#: Replies in turn by page_id: body, is_watermarked, score, error.
+REPLIES = [
+    ('{"candidates":[{"content":{"parts":[{"text":"Likely AI-generated"}]}}]}', "true", None, None), ('{"candidates":[{"content":{"parts":[{"text":"Not watermarked"}]},"score":0.9}]}', "false", 0.9, None),
+    ('{"candidates":[{"attributionMetadata":{"syntheticText":{"confidence":0.5}}}]}', "true", 0.5, None), ('{"candidates":[{"index":0}],"score":0.25}', "false", 0.25, None),
+    ('{"promptFeedback":{"blockReason":"SAFETY"}}', None, None, "blocked: SAFETY"), ('{"candidates":[]}', None, None, "no candidates"), ('{"candidates":[{"index":0}]}', None, None, "no verdict or score"), ("no json", None, None, "no candidates"),
+]
+
+
+def replies(spark, sf_dir):
+    body = F.element_at(F.array(*[F.lit(r[0]) for r in REPLIES]), (F.col("page_id") % len(REPLIES) + 1).cast("int"))
+    return views.table(spark, sf_dir, "pages").select("page_id", detectors.reply(body).alias("r")).select("page_id", "r.is_watermarked", "r.score", "r.error")
+
+
 def selected(spark, sf_dir):
     k = F.col("doc_id")
     name = F.concat(F.when(k % 3 == 0, "in/./a/").when(k % 3 == 1, "in/a/b/../").otherwise("in/skip/"), (k - k % 3).cast("string"), F.when(k % 5 == 0, ".PNG").when(k % 5 == 1, ".exe").otherwise(".md"))
@@ -190,7 +210,7 @@ QUERIES = {
     "magic_classify": magic, "file_reports": reports, **{f"inspect_{k}": of_kind(k) for k in KINDS},
     "file_audit_summary": lambda s, d: findings.summary(items(s, d)), "file_audit_exit_code": lambda s, d: audit.exit_code(items(s, d)).select(F.col("exit_code").cast("bigint").alias("exit_code")),
     "file_sarif": sarif, "file_lines": lines, "file_json": json_items, "file_suspicious": lambda s, d: audit.suspicious(items(s, d)), "file_notes": lambda s, d: items(s, d).select("path", F.array_join("notes", ";").alias("notes"), "error"),
-    "file_risk": kind_of_risk, "soft_binding_windows": bindings, "data_uri_bytes": payloads, "input_selection": selected, "output_paths": outputs, "sidecar_join": sidecars, "setting_precedence": settings,
+    "file_risk": kind_of_risk, "soft_binding_windows": bindings, "data_uri_bytes": payloads, "input_selection": selected, "output_paths": outputs, "sidecar_join": sidecars, "detector_reports": detector_reports, "detector_replies": replies, "inspect_roll_up": lambda s, d: audit.rolled_up(items(s, d)), "setting_precedence": settings,
     "non_dominated_rank": fronts, "sitemap_walk": walk, "text_decoded": decoded, "code_point_labels": labels, "layer_a_hit_order": ordered_hits,
 }
 ORACLES = {
@@ -211,6 +231,9 @@ ORACLES = {
     "input_selection": f"WITH p AS (SELECT {SELECTED} AS path FROM documents), r AS (SELECT path, 'in/a/' || regexp_extract(path, '[^/]*$') AS resolved FROM p WHERE NOT starts_with(path, 'in/skip') AND NOT ends_with(path, '.exe')) SELECT min(path) AS path, resolved FROM r GROUP BY resolved",
     "output_paths": f"WITH o AS (SELECT doc_id, {RELATIVE} AS output FROM documents) SELECT doc_id, output, CASE WHEN output IS NULL THEN 'unsafe' WHEN count(*) OVER (PARTITION BY output) > 1 THEN 'collision' ELSE 'ok' END AS status FROM o",
     "sidecar_join": "SELECT 'f' || doc_id AS path, doc_id % 4 < 2 AS has_sidecar, CASE WHEN doc_id % 4 = 0 THEN 'kgw' END AS scheme FROM documents",
+    "detector_reports": "WITH d(detector, vendor) AS (VALUES ('gemini-synthid-text', 'google'), ('markllm', 'open-source'), ('claude-text', 'anthropic')) SELECT doc_id, detector, vendor, false AS available, detector = 'markllm' AND doc_id % 3 = 0 AS configured, false AS skipped, CASE WHEN detector = 'claude-text' THEN 'no public endpoint' WHEN (detector = 'markllm' AND doc_id % 3 = 0) OR (starts_with(detector, 'gemini') AND doc_id % 2 = 0) THEN 'no endpoint of this detector can be called' ELSE 'not configured' END AS reason FROM documents, d",
+    "detector_replies": "WITH s(k, is_watermarked, score, error) AS (VALUES " + ", ".join(f"({k}, {r[1] or 'NULL'}, {'NULL' if r[2] is None else r[2]}, {text_(r[3])})" for k, r in enumerate(REPLIES)) + f") SELECT page_id, CAST(is_watermarked AS BOOLEAN) AS is_watermarked, CAST(score AS DOUBLE) AS score, error FROM pages JOIN s ON page_id % {len(REPLIES)} = k",
+    "inspect_roll_up": ITEMS + " SELECT count(*) AS total, count_if(suspicious_total > 0 OR has_c2pa OR has_ai) AS suspicious, count_if(kind IN ('error', 'unknown')) AS unscanned, CAST(CASE WHEN count_if(kind IN ('error', 'unknown')) > 0 THEN 3 WHEN count_if(suspicious_total > 0 OR has_c2pa OR has_ai) > 0 THEN 1 ELSE 0 END AS BIGINT) AS exit_code FROM items",
     "setting_precedence": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'e' WHEN event_id % 3 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'p' ELSE 'd' END AS value, CASE WHEN event_id % 2 = 0 THEN 'environment' WHEN event_id % 3 = 0 THEN 'dotenv' WHEN event_id % 5 = 0 THEN 'project' ELSE 'default' END AS source FROM events",
     "non_dominated_rank": "WITH RECURSIVE p AS (SELECT p_partkey AS k, p_brand AS g, p_size AS a, p_retailprice AS b FROM part), beats AS (SELECT x.k AS winner, y.k AS loser FROM p x JOIN p y ON x.g = y.g AND x.a >= y.a AND x.b >= y.b AND (x.a > y.a OR x.b > y.b)), chain(k, front) AS (SELECT k, 0 FROM p UNION SELECT loser, front + 1 FROM chain JOIN beats ON winner = chain.k) SELECT k AS p_partkey, CAST(max(front) AS BIGINT) AS front FROM chain GROUP BY k",
     "sitemap_walk": "SELECT * FROM (SELECT printf('https://s.example/p%06d', page_id) AS page, 1 AS depth, CAST(NULL AS VARCHAR) AS error FROM pages ORDER BY page_id % 4, page_id LIMIT 150) UNION ALL SELECT 'https://elsewhere.example/m.xml', 0, 'cross-origin sitemap URL is not allowed'",
