@@ -195,7 +195,7 @@ ITEMS = (
     + f"), items AS (SELECT 'f' || page_id || '/' || name AS path, s.* FROM pages JOIN s ON page_id % {N} = k)"
 )
 EACH = ITEMS + ", each(k, place, finding, level) AS (VALUES " + ", ".join(f"({k}, {p}, {text_(f)}, {text_(v)})" for k, e in enumerate(EXPECTED) for p, (f, v) in enumerate(e[4])) + ")"
-RULE = "CASE WHEN has_c2pa OR contains(lower(finding), 'c2pa') THEN 'AI-WATERMARK-C2PA' WHEN starts_with(finding, 'layer-a') THEN 'AI-WATERMARK-UNICODE-LAYER-A' ELSE 'AI-WATERMARK-METADATA' END"
+RULE = "CASE WHEN has_c2pa OR contains(lower(finding), 'c2pa') THEN 'AI-WATERMARK-C2PA' WHEN starts_with(finding, 'layer-a') THEN 'AI-WATERMARK-UNICODE-LAYER-A' WHEN starts_with(finding, 'stylometry') THEN 'AI-STYLES-HIGH-PROBABILITY' ELSE 'AI-WATERMARK-METADATA' END"
 # Names of the code points that the marked documents hold.
 NAMES = {
     0x00AD: "SOFT HYPHEN (Cf)", 0x034F: "COMBINING GRAPHEME JOINER (Mn)", 0x0600: "ARABIC NUMBER SIGN (Cf)", 0x115F: "HANGUL CHOSEONG FILLER (Lo)", 0x1160: "HANGUL JUNGSEONG FILLER (Lo)", 0x17B4: "KHMER VOWEL INHERENT AQ (Mn)",
@@ -220,7 +220,7 @@ ORACLES = {
     "file_audit_summary": EACH + " SELECT count(*) AS total, count_if(has_c2pa) AS with_c2pa, count_if(has_ai) AS with_ai, count_if(suspicious_total > 0) AS with_suspicious_text, count_if(has_c2pa OR contains(levels, 'confirmed') OR contains(levels, 'probable')) AS actionable, "
     + ", ".join(f"(SELECT count(*) FROM items i JOIN each e ON e.k = i.k WHERE level = '{v}') AS {v}" for v in ("confirmed", "probable", "informational", "likely_false_positive")) + " FROM items",
     "file_audit_exit_code": ITEMS + " SELECT CAST(CASE WHEN count_if(kind = 'error') > 0 THEN 3 WHEN count_if(has_c2pa OR contains(levels, 'confirmed') OR contains(levels, 'probable')) > 0 THEN 1 ELSE 0 END AS BIGINT) AS exit_code FROM items",
-    "file_sarif": EACH + f", r AS (SELECT {RULE} AS rule_id, level FROM items i JOIN each e ON e.k = i.k) SELECT '2.1.0' AS version, CAST(4 AS BIGINT) AS rules, rule_id, CASE WHEN rule_id = 'AI-WATERMARK-C2PA' THEN 'error' WHEN rule_id LIKE '%LAYER-A' THEN 'warning' WHEN level = 'confirmed' THEN 'error' WHEN level = 'informational' THEN 'note' ELSE 'warning' END AS level, count(*) AS results FROM r GROUP BY ALL",
+    "file_sarif": EACH + f", r AS (SELECT {RULE} AS rule_id, level FROM items i JOIN each e ON e.k = i.k) SELECT '2.1.0' AS version, CAST(4 AS BIGINT) AS rules, rule_id, CASE WHEN rule_id = 'AI-WATERMARK-C2PA' THEN 'error' WHEN rule_id LIKE '%LAYER-A' THEN 'warning' WHEN rule_id LIKE 'AI-STYLES%' THEN 'note' WHEN level = 'confirmed' THEN 'error' WHEN level = 'informational' THEN 'note' ELSE 'warning' END AS level, count(*) AS results FROM r GROUP BY ALL",
     "file_lines": EACH + " SELECT path, CAST(place AS BIGINT) AS place, '  [' || level || '] ' || path || ': ' || finding AS line FROM items i JOIN each e ON e.k = i.k",
     "file_json": ITEMS + " SELECT path, kind, CAST(n AS BIGINT) AS findings, kind = 'error' AS skipped FROM items",
     "file_suspicious": ITEMS + " SELECT path, suspicious_total > 0 OR has_c2pa OR has_ai AS suspicious FROM items",
