@@ -170,10 +170,11 @@ class Scorer:
 def train(rows: list[tuple[str, int]], shares_: tuple[int, int]) -> Scorer:
     """rows: texts with 0 or 1; shares_: how many labelled rows of 0 and 1 there are in all."""
     halves = [[r for k, r in enumerate(rows) if k % 2 == h] for h in (0, 1)]
-    by = [[[words(t) for t, y in half if y == c] for c in (0, 1)] for half in halves]
-    if not by[0][0] or not by[0][1] or not by[1][0] or not by[1][1]:
+    by = [[words(t) for t, y in halves[0] if y == c] for c in (0, 1)]
+    if not all(by) or {y for _, y in halves[1]} != {0, 1}:
         return Scorer(b"", b"")
-    out = Scorer(*dictionaries(by[0][1], by[0][0]))
+    out = Scorer(*dictionaries(by[1], by[0]))
+    del by
     toxic = np.array([y for _, y in halves[1]])
     weight = np.array(shares_) / np.bincount(toxic, minlength=2)
     out.calibrate(np.array([out.differences(t) for t, _ in halves[1]]), toxic, (weight / weight.max())[toxic])
