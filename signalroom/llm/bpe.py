@@ -14,8 +14,9 @@ the state behind u has an arc t. A word is encoded left to right: for every pref
 ends an accepted path; it is found by table look-ups for all words of a batch at once. Decoding emits
 the labels' texts.
 
-Words repeat, so each Python worker keeps the ids of up to ``KEPT_WORDS`` words; a full table is
-emptied before the next slice of texts. That bounds memory and changes no result.
+Words repeat, so each Python worker keeps the ids of up to ``KEPT_WORDS`` words, in two tables. Before a slice
+of texts, a table with half as many takes the place of the one before it, from which words still asked for
+are taken over. That bounds memory and changes no result.
 
 Cases: null and empty texts have no tokens; long texts are encoded whole; repeated rows are encoded
 once each; an empty table gives no rows; ``encode`` adds one named column and fails on a clash before
@@ -27,7 +28,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections import deque
 from collections.abc import Iterator
 from itertools import chain
 
@@ -253,15 +253,25 @@ def pair(u, v) -> np.ndarray:
 
 
 class Kept(dict):
-    """Words and their ids; words asked for in vain gather in ``new``."""
+    """Words and their ids. A word asked for in vain gets an empty array, which gathers in ``new`` and is filled later."""
 
     def __init__(self):
         super().__init__()
-        self.new: set[str] = set()
+        self.old: dict[str | int, bytes] = {}
+        self.new: dict[str, bytearray] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        self.new.add(word)
-        return b""
+    def __missing__(self, word: str) -> bytes | bytearray:
+        found = self.old.get(word)
+        if found is None:
+            found = self.new[word] = bytearray()
+        self[word] = found
+        return found
+
+    def turn(self, most: int) -> None:
+        """Makes room if this table has so many words."""
+        if len(self) >= most:
+            self.old = dict(self)
+            self.clear()
 
 
 class Codec:
@@ -305,8 +315,8 @@ class Codec:
             out += [self.special[x]] if i % 2 else self.words(x)
         return out
 
-    def learn(self, new: set[str]) -> None:
-        """Puts the ids of words into the table."""
+    def learn(self, new: dict[str, bytearray]) -> None:
+        """Puts the ids of words into the table, and into the arrays given out for them."""
         words = list(new)
         data = [w.encode() for w in words]
         sizes = np.array(list(map(len, data)), np.int64)
@@ -314,22 +324,21 @@ class Codec:
         symbols[np.cumsum(sizes) - 1] += 256
         ids, counts = self.automaton.encode(symbols, sizes)
         blob, at = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
-        self.kept.update(zip(words, [blob[a:b] for a, b in zip([0, *at], at, strict=False)], strict=True))
+        blobs = [blob[a:b] for a, b in zip([0, *at], at, strict=False)]
+        self.kept.update(zip(words, blobs, strict=True))
+        for hole, ids_of in zip(new.values(), blobs, strict=True):
+            hole += ids_of
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        batch = [self.parts(t) for t in texts]
-        numbers = {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        self.kept |= numbers
+        self.kept.turn(KEPT_WORDS // 2)
+        self.kept |= {i: np.array([i], "<u4").tobytes() for i in self.special.values()}
         get = self.kept.__getitem__
-        for p in batch:
-            deque(map(get, p), 0)
+        found = [list(map(get, self.parts(t))) for t in texts]
         if self.kept.new:
             self.learn(self.kept.new)
-            self.kept.new = set()
-        return [b"".join(map(get, p)) for p in batch]
+            self.kept.new = {}
+        return list(map(b"".join, found))
 
 
 def label_texts(doc: dict) -> list[str]:

@@ -109,6 +109,21 @@ def test_automaton_on_nested_repeats():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain(w) for w in words]
 
 
+def test_words_in_use_are_learned_once(monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 200)
+    codec, learned = bpe.Codec(bpe.tokenizer_spec()), []
+    plain, encode = bpe.Codec(bpe.tokenizer_spec()), codec.automaton.encode
+    monkeypatch.setattr(codec.automaton, "encode", lambda symbols, sizes: learned.append(len(sizes)) or encode(symbols, sizes))
+    common_words = " ".join(f"often{chr(97 + k)}x" for k in range(26))
+    letters = lambda k: "".join(chr(97 + int(c)) for c in str(k))
+    for k in range(40):
+        texts = [common_words, " ".join(f"rare{letters(100 * k + j)}" for j in range(20)) + " ! " + common_words, "", None]
+        plain.kept.clear()
+        assert codec.encode_batch(texts) == plain.encode_batch(texts)
+        assert len(codec.kept) <= 200 // 2 + 2 * 46 + 3
+    assert sum(learned) == 26 + 40 * 20 + 1
+
+
 def test_packing_places_every_piece_once(spark):
     tokenizers, public = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
     library = tokenizers.Tokenizer.from_file(public.path("word_bpe_49k.json"))
