@@ -432,10 +432,31 @@ def decode(docs: DataFrame, ids: str = "ids", to: str = "decoded", path: str | N
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.StringType())]))
 
 
+def round_trip(docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", path: str | None = None) -> DataFrame:
+    """docs with what decode() makes of encode() in place of the text, each text by one Python worker: two for one task would each
+    hold a batch and an interpreter."""
+    docs = common.without(docs, ids, decoded)
+    kept = common.without(docs, text)
+    codec, names = shared_codec(docs.sparkSession, path), shared_labels(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, labels = codec.value, names.value
+        for whole in batches:
+            for batch in pieces_of(whole, text):
+                at = batch.schema.get_field_index(text)
+                blobs = c.encode_batch(batch.column(at).to_pylist())
+                texts = [emit(labels, np.frombuffer(b, "<u4")) for b in blobs]
+                rest = [i for i in range(batch.num_columns) if i != at]
+                columns = [*(batch.column(i) for i in rest), ids_array(blobs), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*(batch.schema.names[i] for i in rest), ids, decoded])
+
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())]
+    return docs.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = encode(docs).select("doc_id", "ids")
-    return decode(ids).select(
+    return round_trip(docs).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),

@@ -109,6 +109,17 @@ def test_automaton_on_nested_repeats():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [plain(w) for w in words]
 
 
+def test_round_trip_is_one_python_step(spark):
+    docs = corpus.documents(spark)
+    apart = bpe.decode(bpe.encode(docs)).drop("text")
+    both = bpe.round_trip(docs)
+    assert sorted(both.columns) == sorted(apart.columns)
+    assert corpus.by_row(both.select(apart.columns).collect()) == corpus.by_row(apart.collect())
+    assert bpe.round_trip(corpus.empty(spark)).count() == 0
+    plan = bpe.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_words_in_use_are_learned_once(monkeypatch):
     monkeypatch.setattr(bpe, "KEPT_WORDS", 200)
     codec, learned = bpe.Codec(bpe.tokenizer_spec()), []
