@@ -493,7 +493,8 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, prefix: str = "_")
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     out = remove_repeats(docs)
-    return out.select("doc_id", *[F.col(f"_{n}").alias(n) for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+    # a chunk's rows are short without their texts: a file each would be many small files
+    return out.select("doc_id", *[F.col(f"_{n}").alias(n) for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256")]).hint("rebalance")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

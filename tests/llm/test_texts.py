@@ -325,6 +325,18 @@ def test_suffixes_over_many_chunks_and_ranges(spark, monkeypatch, chunk, range_)
     assert staged.columns == docs.columns and {r._kept for r in staged.collect()} == {"own"}
 
 
+def test_suffix_query_writes_no_file_for_each_chunk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffixes, "CHUNK", 3_000)
+    monkeypatch.setattr(suffixes, "RANGE", 40_000)
+    docs = spark.createDataFrame([(k, corpus.prose(300 + k, 40)) for k in range(200)] + [(k, corpus.prose(k, 40)) for k in (310, 320)], "doc_id bigint, text string")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/in/documents.parquet")
+    suffixes.query(spark, f"{tmp_path}/in").write.parquet(f"{tmp_path}/out")
+    expected = suffixes.remove_repeats(docs).select("doc_id", *[f"_{n}" for n in suffixes.ADDED])
+    assert docs.selectExpr("sum(octet_length(text))").first()[0] > 15 * suffixes.CHUNK
+    assert len(list((tmp_path / "out").glob("part-*.parquet"))) <= 4
+    assert corpus.by_row(spark.read.parquet(f"{tmp_path}/out").collect()) == corpus.by_row(expected.collect())
+
+
 def test_loser_tree_merges_and_counts_shared_bytes():
     rng = np.random.default_rng(5)
     runs = [sorted(bytes(rng.integers(97, 99, rng.integers(0, 9)).tolist()) for _ in range(rng.integers(1, 40))) for _ in range(7)]
