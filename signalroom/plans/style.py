@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signalroom.functions import text as X
+from signalroom.operators import nearest
 from signalroom.rules import phrases as P
 
 from . import views
@@ -109,20 +110,14 @@ def cosine_next(spark, sf_dir):
     return pairs.select("vec_id", F.round(F.when(norms > 0, dot(F.col("a"), F.col("b")) / norms).otherwise(0.0), 6).alias("cosine"))
 
 
-#: Queries that a row meets at a time.
-BLOCK = 1000
-
-
 def cosine_topk(spark, sf_dir, k: int = 5):
-    """The k vectors nearest by cosine to each vector whose id is divisible by 100: all rows against blocks of these queries."""
+    """The k vectors nearest by cosine to each vector whose id is divisible by 100."""
     rows = views.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    number = rows.schema["vec_id"].dataType
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    rows = rows.withColumn("n", F.sqrt(dot(F.col("a"), F.col("a")))).where("n > 0")
-    asked = rows.where("vec_id % 100 = 0")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("a").alias("b"), F.col("n").alias("m"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"))
-    met = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block").where("query_id <> vec_id")
-    found = met.select("query_id", "vec_id", F.round(dot(F.col("a"), F.col("b")) / (F.col("n") * F.col("m")), 6).alias("cosine"))
+    rows = rows.where(F.col("vec_id").isNotNull() & (dot(F.col("a"), F.col("a")) > 0)).select(F.col("vec_id").cast("bigint").alias("vec_id"), "a")
+    met = nearest.nearest(rows, rows.where("vec_id % 100 = 0"), k)
+    found = met.select(F.col("query_id").cast(number).alias("query_id"), F.col("vec_id").cast(number).alias("vec_id"), F.round("cosine", 6).alias("cosine"))
     best = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return found.withColumn("place", F.row_number().over(best).cast("bigint")).where(F.col("place") <= k)
 
