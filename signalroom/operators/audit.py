@@ -1,7 +1,6 @@
 """The audit of files: every file becomes an item with findings and levels, and items roll up to reports.
 
-An item depends on its own bytes alone. Hidden characters are looked for once in each different text, and
-joined by its digest. Nothing is gathered but counts; SARIF documents hold a bounded number of results each.
+An item depends on its own bytes alone, and is made where they lie. Nothing is gathered but counts; SARIF documents hold a bounded number of results each.
 
 Cases: a file without content, and one over the limit, is skipped and makes an error item; empty files are
 text without findings or of unknown kind; bytes that aren't UTF-8 are replaced and noted; repeated paths are
@@ -13,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from signalroom.functions import hidden
 from signalroom.functions import text as X
 from signalroom.operators import findings, layer_a, markup
 from signalroom.sources import files, media
@@ -55,11 +55,10 @@ def items(rows: DataFrame, stylometry: bool = False) -> DataFrame:
     """
     readable = F.when(F.col("length") <= files.MOST_BYTES, F.col("content"))
     routed = rows.select("path", readable.alias("content")).withColumn("route", routes(F.col("path"), F.col("content")))
-    seen = media.inspect_routed(routed).withColumn(layer_a.TEXT, F.unhex(F.sha2("text", 256)))
+    seen = media.inspect_routed(routed)
     scanned = F.col("route").isin("text", "html", "markdown")
-    texts = seen.where(scanned).select(F.col("path").alias("doc_id"), F.col("text").alias("t"))
-    hidden = layer_a.text_findings(texts).withColumnRenamed(layer_a.TEXT, "_t")
-    joined = seen.join(hidden, scanned & (F.col(layer_a.TEXT) == F.col("_t")), "left")
+    joined = seen.withColumn("layer", hidden.findings_of(F.when(scanned, F.col("text"))))
+    layer_levels = F.transform("layer.kinds", layer_a.confidence)
     own = F.when(F.col("route") == "html", markup.html_findings(F.col("text"))).when(F.col("route") == "markdown", markup.front_findings(F.col("text"))).otherwise(none())
     whole = joined.withColumn("own", own).withColumn("score", F.when(scanned, style_score(F.col("text"))).otherwise(0.0) if stylometry else F.lit(0.0))
     styled = F.col("score") >= STYLE
@@ -71,9 +70,9 @@ def items(rows: DataFrame, stylometry: bool = False) -> DataFrame:
         F.when(F.col("status") == "skipped", "error").otherwise(F.col("format")).alias("kind"),
         manifest.alias("has_c2pa"),
         (F.col("has_ai") | manifest | F.exists("own", lambda f: ~f.startswith("info:"))).alias("has_ai"),
-        (F.coalesce("total", F.lit(0)) + styled.cast("int")).cast("bigint").alias("suspicious_total"),
-        F.concat(marked, F.coalesce("layer_findings", none()), style).alias("findings"),
-        F.concat(F.transform(marked, findings.confidence), F.coalesce("layer_levels", none()), F.transform(style, lambda _: F.lit("probable"))).alias("levels"),
+        (F.coalesce("layer.total", F.lit(0)) + styled.cast("int")).cast("bigint").alias("suspicious_total"),
+        F.concat(marked, F.coalesce("layer.findings", none()), style).alias("findings"),
+        F.concat(F.transform(marked, findings.confidence), F.coalesce(layer_levels, none()), F.transform(style, lambda _: F.lit("probable"))).alias("levels"),
         F.when(F.col("status") == "unknown", F.array(F.lit("unrecognized format; not scanned"))).when(~F.col("valid"), F.array(F.lit("bytes that are not UTF-8 were replaced"))).otherwise(none()).alias("notes"),
         (F.col("status") == "skipped").alias("skipped"),
         F.when(F.col("status") == "skipped", "too large or not readable").otherwise(F.col("error")).alias("error"),

@@ -1,10 +1,8 @@
 """Hidden characters: which ones a text holds, and the text without them.
 
-Every character of a suspect text is a row with its neighbours; the rules are one CASE over it. Texts
-without a suspect character are set aside by a regular expression before anything is exploded. What a text
-holds depends on it alone, so each different suspect text is worked through once, under its digest, and
-rows take what their text has: neither repeated nor null ids mix texts. One exchange by digest serves all
-windows. The statements below run on Spark; ``{chars}`` and the few names that differ come from a dialect.
+Each row's text is answered by itself, where it lies, by the fold in ``functions/hidden``: nothing is shuffled, and
+neither repeated nor null ids mix texts. The statements below say the same rules in SQL, as one CASE over every
+character and its neighbours, for an engine that checks them; what differs between engines comes from a dialect.
 
 Input: doc_id and t. A null text has no characters; rows that repeat are answered one by one; an empty table
 gives no rows; further columns are not read.
@@ -17,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signalroom.functions import text
+from signalroom.functions import hidden
 from signalroom.rules import characters as C
 from signalroom.rules.characters import within
 
@@ -37,25 +35,6 @@ class Dialect:
     next: str
 
 
-PIECES = """
-  SELECT doc_id, k, gap, run, coalesce(sum(char_length(gap) + coalesce(char_length(run), 0)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base,
-    lead(gap) OVER (PARTITION BY doc_id ORDER BY k) AS next_gap
-  FROM (SELECT doc_id, k, p.`0` AS gap, p.`1` AS run FROM (
-    SELECT doc_id, posexplode(arrays_zip(split(t, '(?s).?{suspect}+'), regexp_extract_all(t, '(?s).?{suspect}+', 0))) AS (k, p) FROM {{docs}} WHERE regexp_like(t, '{suspect}')))"""
-#: On Spark only suspect runs and the characters on either side of them become rows; the text between stays whole.
-SPARK = Dialect(
-    chars="SELECT doc_id, CAST(base + char_length(gap) + at AS INT) AS pos, ch FROM (SELECT doc_id, base, gap, posexplode(split(concat(run, left(coalesce(next_gap, ''), 1)), '')) AS (at, ch) FROM (" + PIECES + ") WHERE run IS NOT NULL) WHERE ch <> ''",
-    rest=" UNION ALL SELECT doc_id, CAST(base + (CASE WHEN k > 0 THEN 1 ELSE 0 END) AS INT), '', CASE WHEN k > 0 THEN substring(gap, 2) ELSE gap END, 'keep', false FROM (" + PIECES + ")",
-    code="ascii(ch)",
-    matches="regexp_like({0}, '{1}')",
-    char="decode(unhex('{utf8}'), 'UTF-8')",
-    join_text="array_join(transform(array_sort(collect_list(struct(pos, out_ch))), x -> x.out_ch), '')",
-    first_ten="array_join(transform(slice(array_sort(collect_list(pos)), 1, 10), x -> cast(x AS string)), ',')",
-    last="lag({x}) IGNORE NULLS OVER ({rows})",
-    next="lead({x}) IGNORE NULLS OVER ({rows})",
-)
-
-
 def spark_literal(pattern: str) -> str:
     return pattern.replace("\\", "\\\\")
 
@@ -154,26 +133,6 @@ result AS (
   FROM decided)"""
 
 
-TEXT = "_text"
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, t, and the digest of t."""
-    return docs.select("doc_id", "t", F.unhex(F.sha2("t", 256)).alias(TEXT))
-
-
-def _run(docs: DataFrame, statement: str, aggressive: bool = False) -> DataFrame:
-    """The rows of a statement for each different suspect text, with its digest in the place of doc_id."""
-    plain = statement.replace("{", "{{").replace("}", "}}").replace("{{docs}}", "{docs}")
-    suspects = keyed(docs).where(F.regexp_like("t", F.lit(suspect_class(aggressive)))).dropDuplicates([TEXT])
-    return docs.sparkSession.sql(plain, docs=suspects.select(F.col(TEXT).alias("doc_id"), "t")).withColumnRenamed("doc_id", TEXT)
-
-
-def _by_row(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """What was found, for each row that has the text."""
-    return keyed(docs).select("doc_id", TEXT).join(found, TEXT).drop(TEXT)
-
-
 def hits_sql(d: Dialect, **options) -> str:
     """Suspicious code points of each document: count and the first ten places."""
     return decisions(d, strip_bidi=True, **options) + f"""
@@ -181,16 +140,8 @@ SELECT doc_id, cp AS codepoint, kind, count(*) AS n, {d.first_ten} AS places FRO
 
 
 def inspect(docs: DataFrame, **options) -> DataFrame:
-    return _by_row(docs, _run(docs, hits_sql(SPARK, **options), options.get("aggressive", False)))
-
-
-def text_findings(docs: DataFrame) -> DataFrame:
-    """For each different suspect text, under its digest: findings, most frequent first, their levels, and how many characters they are."""
-    hits = _run(docs, hits_sql(SPARK)).withColumn("label", text.code_point_label(F.col("codepoint")))
-    message = F.concat(F.lit("layer-a ["), "kind", F.lit("] "), "label", F.lit(" x"), F.col("n"))
-    one = F.struct((-F.col("n")).alias("order"), "codepoint", "kind", message.alias("finding"), confidence(F.col("kind")).alias("level"))
-    found = hits.groupBy(TEXT).agg(F.array_sort(F.collect_list(one)).alias("h"), F.sum("n").alias("total"))
-    return found.select(TEXT, F.col("h.finding").alias("layer_findings"), F.col("h.level").alias("layer_levels"), "total")
+    """doc_id, codepoint, kind, n and places."""
+    return docs.select("doc_id", F.explode(hidden.hits_of(F.col("t"), strip_bidi=True, **options)).alias("h")).select("doc_id", "h.*")
 
 
 def kind_counts_sql(d: Dialect) -> str:
@@ -198,7 +149,7 @@ def kind_counts_sql(d: Dialect) -> str:
 
 
 def kind_counts(docs: DataFrame) -> DataFrame:
-    return _by_row(docs, _run(docs, kind_counts_sql(SPARK)))
+    return docs.select("doc_id", F.explode(hidden.kind_counts_of(F.col("t"), strip_bidi=True)).alias("h")).select("doc_id", "h.*")
 
 
 def clean_sql(d: Dialect, **options) -> str:
@@ -212,10 +163,9 @@ SELECT doc_id, {d.join_text} AS cleaned, count(CASE WHEN action = 'strip' THEN 1
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """doc_id, cleaned, removed, replaced, preserved of all documents; texts that aren't suspect stay as they are."""
-    changed = _run(docs, clean_sql(SPARK, **options), options.get("aggressive", False)).withColumnRenamed(TEXT, "_changed")
-    every = keyed(docs).join(changed, F.col(TEXT) == F.col("_changed"), "left")
-    counts = [F.coalesce(n, F.lit(0)).cast("bigint").alias(n) for n in ("removed", "replaced", "preserved")]
-    return every.select("doc_id", F.when(F.col("_changed").isNull(), F.col("t")).otherwise(F.col("cleaned")).alias("cleaned"), *counts)
+    every = docs.select("doc_id", "t", hidden.cleaned_of(F.col("t"), **({"strip_bidi": False} | options)).alias("c"))
+    counts = [F.coalesce(f"c.{n}", F.lit(0)).cast("bigint").alias(n) for n in ("removed", "replaced", "preserved")]
+    return every.select("doc_id", F.when(F.col("c").isNull(), F.col("t")).otherwise(F.col("c.cleaned")).alias("cleaned"), *counts)
 
 
 def pairs_sql(d: Dialect, **options) -> str:
@@ -223,7 +173,7 @@ def pairs_sql(d: Dialect, **options) -> str:
 
 
 def bidi_pairs(docs: DataFrame) -> DataFrame:
-    return _by_row(docs, _run(docs, pairs_sql(SPARK)))
+    return docs.select("doc_id", F.explode(hidden.pairs_of(F.col("t"))).alias("p")).select("doc_id", "p.*")
 
 
 def confidence(kind):
