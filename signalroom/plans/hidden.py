@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from signalroom.functions.hidden import hits_of
 from signalroom.operators import layer_a
 from signalroom.operators.layer_a import Dialect
 
@@ -49,9 +50,8 @@ def top_codepoints(spark, sf_dir):
 
 
 def report(spark, sf_dir):
-    found = layer_a.inspect(docs(spark, sf_dir)).groupBy("doc_id").agg(F.sum("n").alias("suspicious_total"), F.count("*").alias("hits"))
-    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("suspicious_total", "hits")]
-    return docs(spark, sf_dir).select("doc_id", F.char_length("t").cast("bigint").alias("length")).join(found, "doc_id", "left").select("doc_id", "length", *zero)
+    rows = docs(spark, sf_dir).select("doc_id", F.char_length("t").cast("bigint").alias("length"), hits_of(F.col("t"), strip_bidi=True).alias("h"))
+    return rows.select("doc_id", "length", F.aggregate("h.n", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("suspicious_total"), F.size("h").cast("bigint").alias("hits"))
 
 
 def cleaned(**options):
