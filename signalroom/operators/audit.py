@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from signalroom.functions import hidden
+from signalroom.functions import hidden, style
 from signalroom.functions import text as X
 from signalroom.operators import findings, layer_a, markup
 from signalroom.sources import files, media
@@ -37,15 +37,10 @@ def routes(path: Column, content: Column) -> Column:
     return F.when(kind == "text", "text").when(kind == "image", "binary").when(kind == "container", markup_kind).otherwise("unknown")
 
 
-def style_score(text: Column) -> Column:
-    """The score of a text's style; 0 below 30 words."""
-
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        score = X.composite(X.burstiness(X.sentences(text)), X.density(X.phrase_counts(text), n), X.mattr(w), n)
-        return F.when(n >= 30, score).otherwise(0.0)
-
-    return X.let(X.words(text), of)
+def style_score(measured: Column) -> Column:
+    """The score of a text's measures; 0 below 30 words."""
+    score = X.composite(measured["cv"], measured["dens"], measured["ttr"], measured["words"])
+    return F.when(measured["words"] >= 30, score).otherwise(0.0)
 
 
 def items(rows: DataFrame, stylometry: bool = False) -> DataFrame:
@@ -60,9 +55,10 @@ def items(rows: DataFrame, stylometry: bool = False) -> DataFrame:
     joined = seen.withColumn("layer", hidden.findings_of(F.when(scanned, F.col("text"))))
     layer_levels = F.transform("layer.kinds", layer_a.confidence)
     own = F.when(F.col("route") == "html", markup.html_findings(F.col("text"))).when(F.col("route") == "markdown", markup.front_findings(F.col("text"))).otherwise(none())
-    whole = joined.withColumn("own", own).withColumn("score", F.when(scanned, style_score(F.col("text"))).otherwise(0.0) if stylometry else F.lit(0.0))
+    styles = joined.withColumn("style", style.measured(F.when(scanned, F.col("text")))) if stylometry else joined
+    whole = styles.withColumn("own", own).withColumn("score", F.when(scanned, style_score(F.col("style"))).otherwise(0.0) if stylometry else F.lit(0.0))
     styled = F.col("score") >= STYLE
-    style = F.when(styled, F.array(F.format_string("stylometry [high_probability] score %.2f (%s)", "score", X.tier(F.col("score"))))).otherwise(none())
+    said = F.when(styled, F.array(F.format_string("stylometry [high_probability] score %.2f (%s)", "score", X.tier(F.col("score"))))).otherwise(none())
     marked = F.concat("own", "findings")
     manifest = F.col("has_c2pa") | F.when(F.col("route") == "html", markup.html_has_manifest(F.col("text"))).otherwise(False)
     return whole.select(
@@ -71,8 +67,8 @@ def items(rows: DataFrame, stylometry: bool = False) -> DataFrame:
         manifest.alias("has_c2pa"),
         (F.col("has_ai") | manifest | F.exists("own", lambda f: ~f.startswith("info:"))).alias("has_ai"),
         (F.coalesce("layer.total", F.lit(0)) + styled.cast("int")).cast("bigint").alias("suspicious_total"),
-        F.concat(marked, F.coalesce("layer.findings", none()), style).alias("findings"),
-        F.concat(F.transform(marked, findings.confidence), F.coalesce(layer_levels, none()), F.transform(style, lambda _: F.lit("probable"))).alias("levels"),
+        F.concat(marked, F.coalesce("layer.findings", none()), said).alias("findings"),
+        F.concat(F.transform(marked, findings.confidence), F.coalesce(layer_levels, none()), F.transform(said, lambda _: F.lit("probable"))).alias("levels"),
         F.when(F.col("status") == "unknown", F.array(F.lit("unrecognized format; not scanned"))).when(~F.col("valid"), F.array(F.lit("bytes that are not UTF-8 were replaced"))).otherwise(none()).alias("notes"),
         (F.col("status") == "skipped").alias("skipped"),
         F.when(F.col("status") == "skipped", "too large or not readable").otherwise(F.col("error")).alias("error"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from signalroom.functions import style
 from signalroom.functions import text as X
 from signalroom.operators import nearest
 from signalroom.rules import phrases as P
@@ -16,12 +17,7 @@ WHITE = f"[{P.WHITE}]"
 
 def measured(spark, sf_dir):
     """doc_id, lang, and the measures of each text."""
-    docs = views.prose(spark, sf_dir).select("doc_id", "lang", "t", X.words(F.col("t")).alias("w"), X.sentences(F.col("t")).alias("s"), X.phrase_counts(F.col("t")).alias("c"))
-    n = F.size("w")
-    return docs.select(
-        "doc_id", "lang", n.cast("bigint").alias("words"), F.size("s").cast("bigint").alias("sentences"), X.burstiness(F.col("s")).alias("cv"),
-        X.mattr(F.col("w")).alias("ttr"), X.density(F.col("c"), n).alias("dens"), "c",
-    )
+    return views.prose(spark, sf_dir).select("doc_id", "lang", style.measured(F.col("t")).alias("m")).select("doc_id", "lang", "m.*")
 
 
 def scored(spark, sf_dir):
